@@ -50,7 +50,7 @@ FULL_CODE_LENGTH = 8
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
+    return F.expr("map(" + ", ".join(f"'{key}', '{value}'" for key, value in mapping.items()) + ")")
 
 
 def label_of(code: Column, mapping: dict[str, str]) -> Column:

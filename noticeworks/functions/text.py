@@ -40,7 +40,7 @@ def spanish_stopwords() -> tuple[str, ...]:
 
 
 def stopwords() -> Column:
-    return F.array(*[F.lit(w) for w in spanish_stopwords()])
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in spanish_stopwords()) + ")")
 
 
 def raw_words(text: Column) -> Column:
@@ -50,7 +50,7 @@ def raw_words(text: Column) -> Column:
 
 def significant(tokens: Column) -> Column:
     """Distinct words of a token array without stop words, sorted."""
-    return F.array_sort(F.array_except(tokens, stopwords()))
+    return F.sort_array(F.array_except(tokens, stopwords()))
 
 
 def mask_long(text: Column, limit: int = MASK_LIMIT) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from noticeworks.operators import evaluation, funnel, ranking, tenders
 from noticeworks.functions import display
-from noticeworks.functions.ranking import unit_vector
 from noticeworks.plans import views
 from noticeworks.plans.oracle_views import AS_OF_SQL, sql_case
 from noticeworks.plans.registry import query, stamp
@@ -69,11 +68,11 @@ def tender_list_total(spark, sf):
 @query(
     "tender_list_code",
     f"""
-SELECT {_LIST_SQL} FROM tenders_v WHERE list_contains(norm_codes, '72201000')
+SELECT {_LIST_SQL} FROM tenders_v WHERE list_contains(norm_codes, '72401800')
 ORDER BY tenders_v.published_at DESC, expediente LIMIT 50""",
 )
 def tender_list_code(spark, sf):
-    page = tenders.list_tenders(views.tenders(spark, sf), code="72201000-0", limit=50)
+    page = tenders.list_tenders(views.tenders(spark, sf), code="72401800-0", limit=50)
     return page.select(*_listed())
 
 
@@ -190,8 +189,9 @@ def _pairs(spark, sf, vectors: bool):
         t,
         p,
         views.as_of(),
-        ranking.unit_vectors(views.tender_vectors(spark, sf), DIMENSION),
-        ranking.unit_vectors(views.provider_vectors(spark, sf), DIMENSION),
+        views.tender_vectors(spark, sf),
+        views.provider_vectors(spark, sf),
+        DIMENSION,
     )
 
 
@@ -225,8 +225,8 @@ FROM (SELECT vec_id, e, unnest(e) AS x, unnest(range(0, len(e))) AS pos
       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64))""",
 )
 def normalize_vectors(spark, sf):
-    rows = views.read_table(spark, sf, "embeddings").filter(F.size("embedding") == DIMENSION)
-    return rows.select("vec_id", F.posexplode(unit_vector(F.col("embedding"))).alias("pos", "value")).select(
+    rows = ranking.unit_vectors(views.read_table(spark, sf, "embeddings"), DIMENSION)
+    return rows.select("vec_id", F.posexplode("embedding").alias("pos", "value")).select(
         "vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 9).alias("value")
     )
 
@@ -315,11 +315,17 @@ GROUP BY 1, 2, 3""",
 )
 def recall_at_k(spark, sf):
     judged = views.interests(spark, sf).filter(F.col("label") != "excluded")
-    t = ranking.with_title_terms(views.tenders(spark, sf).select("expediente", "title")).join(
-        ranking.unit_vectors(views.tender_vectors(spark, sf), DIMENSION), "expediente", "left"
+    t = ranking.unit_vectors(
+        ranking.with_title_terms(views.tenders(spark, sf).select("expediente", "title")).join(
+            views.tender_vectors(spark, sf), "expediente", "left"
+        ),
+        DIMENSION,
     )
-    p = ranking.query_terms(views.providers(spark, sf)).join(
-        ranking.unit_vectors(views.provider_vectors(spark, sf), DIMENSION), "provider_id", "left"
+    p = ranking.unit_vectors(
+        ranking.query_terms(views.providers(spark, sf)).join(
+            views.provider_vectors(spark, sf), "provider_id", "left"
+        ),
+        DIMENSION,
     )
     return evaluation.recall_at_k(judged, t, p, (5, 10, 15))
 

@@ -68,8 +68,8 @@ def notices_coded(spark: SparkSession, sf: str) -> DataFrame:
             F.col("o_custkey").alias("customer_key"),
             key.cast("string").alias("expediente"),
             F.col("c_name").alias("contracting_body"),
-            F.coalesce(F.array_join(F.array_sort("names"), " "), F.lit("")).alias("title"),
-            F.coalesce(F.array_sort("codes"), F.array().cast("array<string>")).alias("cpv_codes"),
+            F.coalesce(F.array_join(F.sort_array("names"), " "), F.lit("")).alias("title"),
+            F.coalesce(F.sort_array("codes"), F.array().cast("array<string>")).alias("cpv_codes"),
             F.when(~missing_budget, price).alias("budget_with_vat"),
             F.when(~missing_budget & (key % 5 != 0), (price - 100).cast(schemas.MONEY)).alias(
                 "budget_without_vat"
@@ -145,8 +145,8 @@ def providers(spark: SparkSession, sf: str) -> DataFrame:
     return supplier.join(groups, key == F.col("owner"), "left").select(
         key.alias("supplier_key"),
         key.cast("string").alias("provider_id"),
-        F.coalesce(F.array_join(F.array_sort("names"), " "), F.lit("")).alias("description"),
-        F.coalesce(F.array_sort("codes"), F.array().cast("array<string>")).alias("cpv_codes"),
+        F.coalesce(F.array_join(F.sort_array("names"), " "), F.lit("")).alias("description"),
+        F.coalesce(F.sort_array("codes"), F.array().cast("array<string>")).alias("cpv_codes"),
         F.when(key % 3 != 0, (20000 + 1000 * (key % 50)).cast(schemas.MONEY)).alias("min_budget"),
         F.when(key % 4 != 0, F.lit(250000).cast(schemas.MONEY)).alias("max_budget"),
         F.when(key % 5 != 0, (F.abs("s_acctbal") * 40).cast(schemas.MONEY)).alias("annual_revenue"),

@@ -43,10 +43,12 @@ def table(columns, rows):
 
 
 def compare(spark, con, name, query, sql, sf_dir):
+    start = time.time()
     frame = query(spark, sf_dir)
     got_columns, got = table(frame.columns, [tuple(r) for r in frame.collect()])
+    spent = f"spark {time.time() - start:.1f}s"
     if sql is None:
-        return True, f"rows only: {len(got)}"
+        return True, f"rows only: {len(got)}, {spent}"
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
     want_columns, want = table(columns, cursor.fetchall())
@@ -59,7 +61,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return False, f"{len(bad)} of {len(got)} rows differ, first: {got_columns} {bad[0]}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows, {spent}"
 
 
 def main() -> int:
