@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from noticeworks.plans import matching  # noqa: F401
+from noticeworks.plans import documents, matching  # noqa: F401
 from noticeworks.plans.registry import ORACLES, QUERIES  # noqa: F401

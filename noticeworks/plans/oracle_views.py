@@ -214,7 +214,7 @@ FROM (SELECT doc_id, page, text, unnest([
   {'field': 'guarantees', 'page': page + 1, 'quote': text},
   {'field': 'execution_deadline', 'page': NULL, 'quote': NULL},
   {'field': 'submission_deadline', 'page': page + 100, 'quote': text},
-  {'field': 'subcontracting', 'page': page, 'quote': upper(text)},
+  {'field': 'subcontracting', 'page': page, 'quote': translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')},
   {'field': 'lots', 'page': page, 'quote': array_to_string(string_split(text, ' '), '  ')},
   {'field': 'certifications[ISO 9001]', 'page': page, 'quote': text},
   {'field': 'certifications[ENS]', 'page': page + 1, 'quote': text}]) AS f FROM doc_pages_v)"""

@@ -6,6 +6,8 @@ same rules in SQL.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,7 +296,7 @@ def page_extractions(spark: SparkSession, sf: str) -> DataFrame:
         "guarantees": cite(page + 1, quote),
         "execution_deadline": null_citation(),
         "submission_deadline": cite(page + 100, quote),
-        "subcontracting": cite(page, F.upper(quote)),
+        "subcontracting": cite(page, F.translate(quote, ascii_lowercase, ascii_uppercase)),
         "lots": cite(page, altered_quote(quote, F.lit(0))),
     }
     described = lambda name: F.concat(F.lit(f"{name}: "), quote)
