@@ -34,7 +34,7 @@ ANALYSIS_STATUS_LABELS = {
     "not_analyzable": "Pliego no analizable",
 }
 ROLE_LABELS = {
-    "required_to_bid": "Obligatoria",
+    "required_to_bid": "Exigida para licitar",
     "award_criterion": "Solo puntúa",
     "administrative_paperwork": "Papeleo de licitación",
 }

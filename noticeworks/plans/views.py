@@ -343,18 +343,16 @@ CERT_CASES = (
 
 
 def cert_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Certification names per tender: a fixed list crossed by tender key remainder."""
+    """Certification names of every tender: one of the cases, or two of them joined."""
     names = F.array(*[F.lit(n) for n in CERT_CASES])
     key = F.col("o_orderkey")
     size = len(CERT_CASES)
     pick = lambda k: F.element_at(names, (k % size + 1).cast("int"))
+    joiner = key_case(key, 3, {0: F.lit(" y ")}, F.lit(", "))
+    second = F.concat(joiner, pick(F.floor(key / size)))
     return read_table(spark, sf, "orders").select(
         key.cast("string").alias("expediente"),
-        F.concat_ws(
-            key_case(key, 3, {0: F.lit(" y ")}, F.lit(", ")),
-            pick(key),
-            F.when(key % 2 == 0, pick(F.floor(key / size))),
-        ).alias("name"),
+        F.concat(pick(key), F.when(key % 2 == 0, second).otherwise("")).alias("name"),
     )
 
 
