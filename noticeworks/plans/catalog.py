@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from noticeworks.plans import analyses, documents, matching  # noqa: F401
+from noticeworks.plans import analyses, documents, ingestion, matching  # noqa: F401
 from noticeworks.plans.registry import ORACLES, QUERIES  # noqa: F401
