@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeworks.functions import text
-from noticeworks.operators import citations, documents, freetext
+from noticeworks.operators import citations, documents, encode, freetext
 from noticeworks.plans import views
 from noticeworks.plans.oracle_views import SPACE, outcome_sql, sql_text
 from noticeworks.plans.registry import query
@@ -258,3 +258,13 @@ SELECT count(*) AS descriptions, count(*) FILTER (WHERE claims = 0) AS without_c
 )
 def claim_summary(spark, sf):
     return freetext.claim_summary(_claim_scores(spark, sf))
+
+
+@query("backfill_vectors")
+def backfill_vectors(spark, sf):
+    """Vectors for every document that has none yet; here, for all of them."""
+    rows = read_table(spark, sf, "documents").select(
+        "doc_id", "text", F.lit(None).cast("array<float>").alias("embedding")
+    )
+    filled = encode.backfill_vectors(rows, "doc_id", "text", encode.hashing_encoder())
+    return filled.select("doc_id", "embedding")
