@@ -1,4 +1,8 @@
-"""Extraction JSON: closed-schema parsing and the rewrite between its two stored shapes."""
+"""Extraction JSON: closed-schema parsing and the rewrite between its two stored shapes.
+
+A text is taken apart once into its blocks, each still as text; whatever needs
+a closer look is then parsed from its own block.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,10 @@ from noticeworks import schemas
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 REQUIRED = "required_to_bid"
+_BLOCKS = schemas.EXTRACTION.fieldNames()
+_SHARED = "certifications_citation"
+_TEXTS = T.StructType([T.StructField(n, T.StringType()) for n in (*_BLOCKS, _SHARED)])
+_CERTIFICATIONS = schemas.EXTRACTION["certifications"].dataType
 
 
 def to_text(extraction: Column) -> Column:
@@ -23,33 +31,22 @@ def _same_keys(keys: Column, kind: T.StructType) -> Column:
     return F.sort_array(keys) == F.array(*[F.lit(n) for n in sorted(kind.fieldNames())])
 
 
-def _closed(text: Column, kind: T.DataType, path: str) -> list[Column]:
-    """Conditions that every object below `path` has exactly the keys of its schema."""
-    found: list[Column] = []
-    here = F.get_json_object(text, path)
-    if isinstance(kind, T.StructType):
-        found.append(here.isNull() | _same_keys(F.json_object_keys(here), kind))
-        for field in kind.fields:
-            found += _closed(text, field.dataType, f"{path}.{field.name}")
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        element = kind.elementType
-        items = F.from_json(here, "array<map<string,string>>")
-        found.append(F.forall(items, lambda m: _same_keys(F.map_keys(m), element)))
-        for field in element.fields:
-            if isinstance(field.dataType, T.StructType):
-                inner = field.dataType
-                found.append(
-                    F.forall(
-                        items,
-                        lambda m: F.coalesce(
-                            _same_keys(
-                                F.json_object_keys(F.try_element_at(m, F.lit(field.name))), inner
-                            ),
-                            F.lit(True),
-                        ),
-                    )
-                )
-    return found
+def _closed_object(members: Column, kind: T.StructType) -> Column:
+    """Whether a map of member texts has exactly the keys of a schema, citations included."""
+    found = [_same_keys(F.map_keys(members), kind)]
+    for field in kind.fields:
+        member = F.try_element_at(members, F.lit(field.name))
+        if isinstance(field.dataType, T.StructType):
+            keys = F.json_object_keys(member)
+            found.append(F.coalesce(_same_keys(keys, field.dataType), F.lit(True)))
+        elif isinstance(field.dataType, T.ArrayType):
+            found.append(_closed_items(member, field.dataType.elementType))
+    return reduce(lambda a, b: a & b, found)
+
+
+def _closed_items(items: Column, kind: T.StructType) -> Column:
+    parsed = F.from_json(items, "array<map<string,string>>")
+    return F.coalesce(F.forall(parsed, lambda m: _closed_object(m, kind)), F.lit(True))
 
 
 def parse_extraction(rows: DataFrame, column: str = "extraction_json") -> DataFrame:
@@ -63,31 +60,42 @@ def parse_extraction(rows: DataFrame, column: str = "extraction_json") -> DataFr
     parsed = rows.withColumn(
         "parsed",
         F.from_json(column, reading, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}),
-    )
-    conditions = _closed(F.col(column), schemas.EXTRACTION, "$")
+    ).withColumn("members", F.from_json(column, "map<string,string>"))
+    objects = [n for n in _BLOCKS if isinstance(schemas.EXTRACTION[n].dataType, T.StructType)]
+    for name in objects:
+        member = F.try_element_at("members", F.lit(name))
+        parsed = parsed.withColumn(f"m_{name}", F.from_json(member, "map<string,string>"))
+    conditions = [
+        _same_keys(F.map_keys("members"), schemas.EXTRACTION),
+        *[_closed_object(F.col(f"m_{n}"), schemas.EXTRACTION[n].dataType) for n in objects],
+        _closed_items(
+            F.try_element_at("members", F.lit("certifications")), schemas.CERTIFICATION
+        ),
+    ]
     closed = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for c in conditions])
     refusal = F.when(
         F.col("parsed").isNull() | F.col(f"parsed.{corrupt}").isNotNull(), "malformed"
     ).when(~closed, "keys")
-    blocks = F.struct(*[F.col(f"parsed.{n}").alias(n) for n in schemas.EXTRACTION.fieldNames()])
+    blocks = F.struct(*[F.col(f"parsed.{n}").alias(n) for n in _BLOCKS])
     return (
         parsed.withColumn("refusal", refusal)
         .withColumn("extraction", F.when(F.col("refusal").isNull(), blocks))
-        .drop("parsed")
+        .drop("parsed", "members", *[f"m_{n}" for n in objects])
     )
 
 
-def _shared_blocks(text: Column) -> list[Column]:
-    same = [
-        f for f in schemas.EXTRACTION.fields if f.name not in ("certifications", "execution_deadline")
-    ]
-    parsed = F.from_json(text, T.StructType(same))
-    return [parsed[f.name].alias(f.name) for f in same]
+def _assembled(blocks: dict[str, Column]) -> Column:
+    """JSON text of an object whose member values are given as JSON texts."""
+    parts: list[Column] = []
+    for position, (name, value) in enumerate(blocks.items()):
+        lead = "{" if position == 0 else ","
+        parts += [F.lit(f'{lead}"{name}":'), F.coalesce(value, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
 
 
-def _first_kind(text: Column) -> Column:
-    """Type of the first certification in the text: STRING, OBJECT<...> or null."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.certifications[0]", "variant"))
+def _is_list_of(text: Column, first: str) -> Column:
+    """Whether a JSON text is an array that is empty or starts with the given character."""
+    return F.coalesce(text.rlike(rf"\A\s*\[\s*(?:\]|{first})"), F.lit(False))
 
 
 def reshape_up(rows: DataFrame, column: str = "extraction_json") -> DataFrame:
@@ -97,69 +105,55 @@ def reshape_up(rows: DataFrame, column: str = "extraction_json") -> DataFrame:
     fields are added as nulls where missing. Text in the newer shape is left as
     it is, so a second run changes nothing.
     """
-    text = F.col(column)
-    names = F.from_json(F.get_json_object(text, "$.certifications"), "array<string>")
-    shared = F.from_json(F.get_json_object(text, "$.certifications_citation"), schemas.CITATION)
-    kind = F.col("first_kind")
-    old_names = names.isNotNull() & ((F.size(names) == 0) | (kind == "STRING"))
-    rebuilt = F.transform(
-        F.col("old_names"),
+    taken = rows.withColumn("b", F.from_json(column, _TEXTS))
+    old_list = _is_list_of(F.col("b.certifications"), '"')
+    lacks = ~F.array_contains(
+        F.json_object_keys("b.execution_deadline"), "extensions_allowed"
+    )
+    flagged = taken.withColumn("old_list", old_list).withColumn(
+        "lacks_fields", F.coalesce(lacks, F.lit(False))
+    )
+    shared = F.from_json(F.col(f"b.{_SHARED}"), schemas.CITATION)
+    with_parts = flagged.withColumn("shared", F.when(F.col("old_list"), shared))
+    objects = F.transform(
+        F.from_json("b.certifications", "array<string>"),
         lambda n, i: F.struct(
             n.alias("name"),
             F.lit(REQUIRED).alias("role"),
-            F.when(i == 0, F.col("shared_citation")).alias("citation"),
+            F.when(i == 0, F.col("shared")).alias("citation"),
         ),
     )
-    current = F.from_json(
-        F.get_json_object(text, "$.certifications"), schemas.EXTRACTION["certifications"].dataType
-    )
-    deadline = F.from_json(
-        F.get_json_object(text, "$.execution_deadline"),
-        schemas.EXTRACTION["execution_deadline"].dataType,
-    )
-    prepared = (
-        rows.withColumn("first_kind", _first_kind(text))
-        .withColumn("is_old", F.coalesce(old_names, F.lit(False)))
-        .withColumn("old_names", names)
-        .withColumn("shared_citation", shared)
-    )
-    lacks_fields = ~F.array_contains(
-        F.json_object_keys(F.get_json_object(text, "$.execution_deadline")), "extensions_allowed"
-    )
-    rewritten = to_text(
-        F.struct(
-            *_shared_blocks(text),
-            F.when(F.col("is_old"), rebuilt).otherwise(current).alias("certifications"),
-            deadline.alias("execution_deadline"),
-        )
-    )
-    changed = F.col("is_old") | F.coalesce(lacks_fields, F.lit(False))
-    return prepared.withColumn(column, F.when(changed, rewritten).otherwise(text)).drop(
-        "first_kind", "is_old", "old_names", "shared_citation"
+    added = '"extensions_allowed":null,"extensions_description":null}'
+    deadline = F.regexp_replace("b.execution_deadline", r"\s*\}\s*\z", "," + added)
+    deadline = F.regexp_replace(deadline, r"\A\s*\{\s*,", "{")
+    blocks = {n: F.col(f"b.{n}") for n in _BLOCKS}
+    blocks["certifications"] = F.when(
+        F.col("old_list"), F.to_json(objects, KEEP_NULLS)
+    ).otherwise(F.col("b.certifications"))
+    blocks["execution_deadline"] = F.when(F.col("lacks_fields"), deadline).otherwise(
+        F.col("b.execution_deadline")
     )
+    changed = F.col("old_list") | F.col("lacks_fields")
+    return with_parts.withColumn(
+        column, F.when(changed, _assembled(blocks)).otherwise(F.col(column))
+    ).drop("b", "old_list", "lacks_fields", "shared")
 
 
 def reshape_down(rows: DataFrame, column: str = "extraction_json") -> DataFrame:
     """Back to names and one citation, the first one's. Roles are lost."""
-    text = F.col(column)
-    current = F.from_json(
-        F.get_json_object(text, "$.certifications"), schemas.EXTRACTION["certifications"].dataType
+    taken = rows.withColumn("b", F.from_json(column, _TEXTS)).withColumn(
+        "items", F.from_json("b.certifications", _CERTIFICATIONS)
     )
-    old_deadline = schemas.EXTRACTION_OLD["execution_deadline"].dataType
-    deadline = F.from_json(F.get_json_object(text, "$.execution_deadline"), old_deadline)
-    prepared = rows.withColumn("first_kind", _first_kind(text)).withColumn("current", current)
-    is_new = F.startswith("first_kind", F.lit("OBJECT")) | (F.size("current") == 0)
-    names = F.transform("current", lambda c: c["name"])
-    rewritten = to_text(
-        F.struct(
-            *_shared_blocks(text),
-            names.alias("certifications"),
-            F.get(F.transform("current", lambda c: c["citation"]), F.lit(0)).alias(
-                "certifications_citation"
-            ),
-            deadline.alias("execution_deadline"),
-        )
+    is_new = _is_list_of(F.col("b.certifications"), r"\{")
+    first = F.get(F.transform("items", lambda c: c["citation"]), F.lit(0))
+    deadline = F.to_json(
+        F.from_json("b.execution_deadline", schemas.EXTRACTION_OLD["execution_deadline"].dataType),
+        KEEP_NULLS,
     )
-    return prepared.withColumn(
-        column, F.when(F.coalesce(is_new, F.lit(False)), rewritten).otherwise(text)
-    ).drop("first_kind", "current")
+    blocks = {n: F.col(f"b.{n}") for n in _BLOCKS}
+    blocks["certifications"] = F.to_json(F.transform("items", lambda c: c["name"]), KEEP_NULLS)
+    blocks["execution_deadline"] = deadline
+    blocks[_SHARED] = F.to_json(first, KEEP_NULLS)
+    return taken.withColumn(
+        column, F.when(is_new, _assembled(blocks)).otherwise(F.col(column))
+    ).drop("b", "items")

@@ -9,7 +9,7 @@ from noticeworks.operators import citations, documents, encode, freetext
 from noticeworks.plans import views
 from noticeworks.plans.oracle_views import SPACE, outcome_sql, sql_text
 from noticeworks.plans.registry import query
-from noticeworks.sources.tables import read_table
+from noticeworks.sources.tables import read_table, spread
 
 
 @query(
@@ -26,7 +26,7 @@ def text_layer(spark, sf):
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf):
-    hashed = documents.content_hash(read_table(spark, sf, "documents"), "text")
+    hashed = documents.content_hash(spread(read_table(spark, sf, "documents")), "text")
     return hashed.select("doc_id", "content_hash")
 
 
@@ -111,7 +111,7 @@ FROM documents""",
 )
 def mask_long_text(spark, sf):
     lines = text.mask_long_all(F.split("text", "\n"))
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents")).select(
         "doc_id",
         text.mask_long(F.col("text")).alias("masked"),
         F.array_join(lines, "\n").alias("masked_lines"),
@@ -128,7 +128,7 @@ FROM documents""",
 )
 def parse_list_field(spark, sf):
     typed = F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit(",5 "))
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents")).select(
         "doc_id",
         F.array_join(text.split_list(F.col("text")), "|").alias("entries"),
         text.parse_amount(typed).cast("double").alias("amount"),
@@ -263,7 +263,7 @@ def claim_summary(spark, sf):
 @query("backfill_vectors")
 def backfill_vectors(spark, sf):
     """Vectors for every document that has none yet; here, for all of them."""
-    rows = read_table(spark, sf, "documents").select(
+    rows = spread(read_table(spark, sf, "documents")).select(
         "doc_id", "text", F.lit(None).cast("array<float>").alias("embedding")
     )
     filled = encode.backfill_vectors(rows, "doc_id", "text", encode.hashing_encoder())

@@ -16,7 +16,8 @@ from noticeworks.plans import views
 from noticeworks.session import shared_dir
 from noticeworks.sources.tables import read_table
 
-PAGE_ENTRIES = 50
+# A page holds the entries of one month whose keys fall into one range of this width.
+PAGE_WIDTH = 4000
 _NAMESPACES = (
     'xmlns="http://www.w3.org/2005/Atom" '
     'xmlns:cbc="urn:dgpe:names:draft:codice:schema:xsd:CommonBasicComponents-2" '
@@ -33,14 +34,10 @@ def _escaped(text: Column) -> Column:
 
 
 def _element(name: str, *content: Column, attributes: str = "") -> Column:
-    """An element around its content; without content there is no element."""
-    inner = [F.coalesce(c, F.lit("")) for c in content]
+    """An element around its content. A single missing content leaves no element."""
     opening = F.lit(f"<{name} {attributes}>" if attributes else f"<{name}>")
-    whole = F.concat(opening, *inner, F.lit(f"</{name}>"))
-    present = content[0].isNotNull()
-    for c in content[1:]:
-        present = present | c.isNotNull()
-    return F.when(present, whole)
+    inner = content if len(content) == 1 else [F.coalesce(c, F.lit("")) for c in content]
+    return F.concat(opening, *inner, F.lit(f"</{name}>"))
 
 
 def _money(value: Column) -> Column:
@@ -156,7 +153,7 @@ def entry_texts(spark: SparkSession, sf: str) -> DataFrame:
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Feed pages of a month: the entries whose keys fall into one range of fixed width."""
     month = F.date_format("updated_at_source", "yyyyMM")
-    page = F.floor(F.col("order_key") / PAGE_ENTRIES)
+    page = F.floor(F.col("order_key") / PAGE_WIDTH)
     body = F.array_join(F.sort_array(F.collect_list("entry")), "")
     opening = F.concat(
         F.lit(f'<feed {_NAMESPACES}><link rel="self" href="p"/><link rel="next" href="p'),
@@ -178,7 +175,7 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = []
         for text in batch["text"]:
             buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
                 archive.writestr("page.atom", text)
                 archive.writestr("readme.txt", "<feed><entry/></feed>")
             packed.append(buffer.getvalue())

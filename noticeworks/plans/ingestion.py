@@ -255,8 +255,8 @@ def scan_entries(spark, sf):
 @query(
     "scan_pages",
     """
-SELECT strftime(updated_at_source, '%Y%m') AS month, order_key // 50 AS page, count(*) AS entries,
-       'p' || (order_key // 50) AS next_page
+SELECT strftime(updated_at_source, '%Y%m') AS month, order_key // 4000 AS page, count(*) AS entries,
+       'p' || (order_key // 4000) AS next_page
 FROM entries_v GROUP BY 1, 2""",
 )
 def scan_pages(spark, sf):
@@ -274,7 +274,7 @@ def scan_pages(spark, sf):
 @query(
     "scan_archives",
     """
-SELECT 'notices_' || strftime(updated_at_source, '%Y%m') || '_' || (order_key // 50) || '.zip' AS path,
+SELECT 'notices_' || strftime(updated_at_source, '%Y%m') || '_' || (order_key // 4000) || '.zip' AS path,
        'page.atom' AS member, expediente FROM entries_v""",
 )
 def scan_archives(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeworks import schemas
 from noticeworks.functions import codes, text
-from noticeworks.sources.tables import read_table
+from noticeworks.sources.tables import read_table, spread
 
 AS_OF = "1998-06-01 00:20:00"
 ROLE_REQUIRED = "required_to_bid"
@@ -209,7 +209,7 @@ def raw_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations").select(
+    return spread(read_table(spark, sf, "conversations")).select(
         F.col("conv_id").cast("string").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page"),
         "text",
@@ -219,7 +219,7 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
 def all_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as paged documents, and every document as one page."""
     paged = doc_pages(spark, sf).withColumn("doc_id", F.concat(F.lit("c"), "doc_id"))
-    whole = read_table(spark, sf, "documents").select(
+    whole = spread(read_table(spark, sf, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.lit(1).alias("page"),
         "text",
@@ -350,7 +350,7 @@ def cert_names(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda k: F.element_at(names, (k % size + 1).cast("int"))
     joiner = key_case(key, 3, {0: F.lit(" y ")}, F.lit(", "))
     second = F.concat(joiner, pick(F.floor(key / size)))
-    return read_table(spark, sf, "orders").select(
+    return spread(read_table(spark, sf, "orders")).select(
         key.cast("string").alias("expediente"),
         F.concat(pick(key), F.when(key % 2 == 0, second).otherwise("")).alias("name"),
     )
@@ -472,7 +472,7 @@ def analyses(spark: SparkSession, sf: str) -> DataFrame:
     extraction = extraction_columns(key, F.col("o_totalprice"), F.col("o_orderpriority"))
     done = status == "completed"
     return (
-        read_table(spark, sf, "orders")
+        spread(read_table(spark, sf, "orders"))
         .filter(F.col("o_orderstatus").isin("O", "F"))
         .select(
             key.alias("order_key"),
