@@ -34,18 +34,21 @@ def location_fits(location: Column, allowed: Column) -> Column:
     return F.coalesce(unrestricted | F.array_contains(allowed, location), F.lit(False))
 
 
-def code_pairs(tenders: DataFrame, providers: DataFrame, as_of: Column) -> DataFrame:
-    """Biddable tenders with every provider that shares a code, each pair once.
+ANYWHERE = "*"
 
-    A pair that shares several codes is kept only on the smallest of them, which
-    a row can decide by itself, so no shuffle is spent on removing duplicates.
-    Provider columns are prefixed with `p_`.
-    """
-    open_tenders = tenders.filter(still_biddable(as_of)).withColumn(
-        "codes", codes.normalize_codes(F.col("cpv_codes"))
+
+def _open_by_code(tenders: DataFrame, as_of: Column) -> DataFrame:
+    """Biddable tenders, one row per normalized code."""
+    return (
+        tenders.filter(still_biddable(as_of))
+        .withColumn("codes", codes.normalize_codes(F.col("cpv_codes")))
+        .withColumn("code", F.explode("codes"))
     )
-    left = open_tenders.withColumn("code", F.explode("codes"))
-    profiles = providers.select(
+
+
+def _profiles_by_code(providers: DataFrame) -> DataFrame:
+    """Providers, one row per normalized code; their columns are prefixed with `p_`."""
+    return providers.select(
         "provider_id",
         codes.normalize_codes(F.col("cpv_codes")).alias("p_codes"),
         *[
@@ -53,11 +56,24 @@ def code_pairs(tenders: DataFrame, providers: DataFrame, as_of: Column) -> DataF
             for c in providers.columns
             if c not in ("provider_id", "cpv_codes", "codes")
         ],
-    )
-    right = profiles.withColumn("p_code", F.explode("p_codes"))
-    first_shared = F.array_min(F.array_intersect("codes", "p_codes")) == F.col("code")
-    return left.join(right, (F.col("code") == F.col("p_code")) & first_shared).drop(
-        "code", "p_code"
+    ).withColumn("p_code", F.explode("p_codes"))
+
+
+def _on_first_shared_code() -> Column:
+    """A pair that shares several codes meets on each; it is kept on the smallest.
+
+    A row can decide that by itself, so no shuffle is spent on duplicates.
+    """
+    shared = F.array_min(F.array_intersect("codes", "p_codes"))
+    return (F.col("code") == F.col("p_code")) & (shared == F.col("code"))
+
+
+def code_pairs(tenders: DataFrame, providers: DataFrame, as_of: Column) -> DataFrame:
+    """Biddable tenders with every provider that shares a code, each pair once."""
+    return (
+        _open_by_code(tenders, as_of)
+        .join(_profiles_by_code(providers), _on_first_shared_code())
+        .drop("code", "p_code")
     )
 
 
@@ -70,8 +86,24 @@ def fits_location() -> Column:
 
 
 def candidate_pairs(tenders: DataFrame, providers: DataFrame, as_of: Column) -> DataFrame:
-    """Provider and tender pairs that pass every hard filter."""
-    return code_pairs(tenders, providers, as_of).filter(fits_budget() & fits_location())
+    """Provider and tender pairs that pass every hard filter.
+
+    The place is part of the join key: a tender stands under its own place and
+    under "anywhere", a provider under each place it accepts, or under
+    "anywhere" if it accepts all. A code that very many share is thereby spread
+    over the places, and pairs in a wrong place never meet.
+    """
+    placed = _open_by_code(tenders, as_of).withColumn(
+        "place",
+        F.explode(F.array_compact(F.array(F.lit(ANYWHERE), F.concat(F.lit("="), "location")))),
+    )
+    restricted = F.transform(
+        F.array_distinct("p_locations"), lambda place: F.concat(F.lit("="), place)
+    )
+    accepted = F.when(F.size("p_locations") > 0, restricted).otherwise(F.array(F.lit(ANYWHERE)))
+    profiles = _profiles_by_code(providers).withColumn("p_place", F.explode(accepted))
+    met = (F.col("place") == F.col("p_place")) & fits_budget() & _on_first_shared_code()
+    return placed.join(profiles, met).drop("code", "p_code", "place", "p_place")
 
 
 def newest_matches(

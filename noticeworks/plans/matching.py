@@ -162,7 +162,7 @@ def funnel_matches(spark, sf):
 
 @query("title_terms", "SELECT expediente, term, tf FROM title_terms_v")
 def title_terms(spark, sf):
-    return ranking.title_terms(views.tenders(spark, sf)).select("expediente", "term", "tf")
+    return ranking.title_terms(views.tenders(spark, sf), stemmed=False).select("expediente", "term", "tf")
 
 
 @query(
@@ -172,7 +172,7 @@ SELECT p.provider_id, coalesce(string_agg(q.term, ' | ' ORDER BY q.term), '') AS
 FROM providers_v p LEFT JOIN query_terms_v q ON p.provider_id = q.provider_id GROUP BY p.provider_id""",
 )
 def query_terms(spark, sf):
-    return ranking.query_terms(views.providers(spark, sf)).select(
+    return ranking.query_terms(views.providers(spark, sf), stemmed=False).select(
         "provider_id",
         F.array_join("query_terms", " | ").alias("terms"),
         F.size("query_terms").alias("n_terms"),

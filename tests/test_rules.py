@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeworks import schemas
-from noticeworks.functions import certs, codes, dates, display, ranking, text
+from noticeworks.functions import certs, codes, dates, display, ranking, stem, text
 from noticeworks.operators import citations, costs, documents, evaluation, freetext, verdicts
+from noticeworks.operators import ranking as operator_ranking
 
 
 def value(spark, column):
@@ -315,3 +316,41 @@ def test_mask_and_list_field(spark):
     assert value(spark, text.split_list(F.lit(" a, b\n\n,c "))) == ["a", "b", "c"]
     assert str(value(spark, text.parse_amount(F.lit(" 10,5 ")))) == "10.50"
     assert value(spark, text.parse_amount(F.lit("  "))) is None
+
+
+@pytest.mark.parametrize(
+    "word, found",
+    [
+        ("cheques", "chequ"),
+        ("toreándolo", "tor"),
+        ("toreó", "tore"),
+        ("tornados", "torn"),
+        ("torrenciales", "torrencial"),
+        ("rápidamente", "rapid"),
+        ("aplicaciones", "aplic"),
+        ("seguridad", "segur"),
+        ("licitación", "licit"),
+        ("y", "y"),
+        ("", ""),
+    ],
+)
+def test_stems(word, found):
+    assert stem.stem(word) == found
+
+
+def test_profile_reduces_to_its_published_number_of_terms(spark):
+    """A paragraph of 21 significant stems, as the measured score of a three-term match implies."""
+    description = (
+        "Desarrollamos aplicaciones web a medida y mantenemos portales institucionales para el "
+        "sector público. Trabajamos con Drupal, WordPress y desarrollos a medida, con atención a "
+        "accesibilidad, sede electrónica y cumplimiento del Esquema Nacional de Seguridad (ENS)."
+    )
+    rows = spark.createDataFrame([("p", description)], "provider_id string, description string")
+    terms = operator_ranking.query_terms(rows).first()["query_terms"]
+    assert len(terms) == 21 and "desarroll" in terms and "de" not in terms
+
+
+def test_inflected_title_matches(spark):
+    tender = spark.createDataFrame([("t", "Desarrollo de aplicación web")], "expediente string, title string")
+    terms = {r["term"] for r in operator_ranking.title_terms(tender).collect()}
+    assert terms == {"desarroll", "aplic", "web"}
