@@ -87,10 +87,15 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def archive_pages(archives: DataFrame) -> DataFrame:
-    """Every feed page packed in the archives, one member in memory at a time."""
-    return archives.select("path", "content").mapInPandas(
+    """Every feed page packed in the archives, one member in memory at a time.
+
+    The pages are dealt out again before they are parsed, so that an archive
+    which holds most of the data does not keep its pages in one task.
+    """
+    pages = archives.select("path", "content").mapInPandas(
         _members, "path string, member string, text string"
     )
+    return pages.repartition("path", "member")
 
 
 def archive_paths(base: str, reference: str, count: int, spark: SparkSession) -> list[str]:

@@ -159,17 +159,53 @@ def test_stream_merges_restarts_and_matches_the_batch_job(spark, tmp_path):
         k: r["title"] for k, r in second.items()}
 
 
+def stored(spark, paths):
+    keep = [c for c in ingest.STORED.fieldNames() if c != "updated_at"]
+    return sorted(map(str, ingest.read_tenders(spark, paths).select(*keep).collect()))
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     source = tmp_path / "feed"
     paths = ingest.IngestPaths.below(str(source), str(tmp_path / "store"))
     batch = parsed(spark, entry("A"), entry("bad", title=" "))
-    ingest.write_batch(batch, 0, paths, None, 4)
-    once = ingest.read_tenders(spark, paths).collect()
-    ingest.write_batch(batch, 0, paths, None, 4)
-    assert ingest.read_tenders(spark, paths).collect() == once
+    ingest.write_batch(batch, "b0", paths, None, 4)
+    once = stored(spark, paths)
+    ingest.write_batch(batch, "b0", paths, None, 4)
+    assert stored(spark, paths) == once and len(once) == 1
     assert ingest.read_rejects(spark, paths).count() == 1
 
 
+def test_finished_staging_is_used_after_a_crash(spark, tmp_path, monkeypatch):
+    """The run dies after it lost a stored bucket; the repeated batch brings all rows back."""
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    ingest.write_batch(parsed(spark, entry("A"), entry("B")), "b0", paths, None, 1)
+    batch = parsed(spark, entry("C"))
+
+    def die(session, path):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "_remove", die)
+        with pytest.raises(RuntimeError):
+            ingest.write_batch(batch, "b1", paths, None, 1)
+    for file in (tmp_path / "store" / "tenders" / "bucket=0").glob("*.parquet"):
+        file.unlink()
+    ingest.write_batch(batch, "b1", paths, None, 1)
+    assert sorted(r["expediente"] for r in ingest.read_tenders(spark, paths).collect()) == ["A", "B", "C"]
+
+
+def test_archives_merge_into_the_same_table(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    ingest.write_batch(parsed(spark, entry("A"), entry("B")), "b0", paths, None, 4)
+    archive = tmp_path / "notices_202608.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        packed.writestr("x.atom", page(entry("A", updated="2026-08-30T00:00:00+00:00", title="Nuevo"), entry("C")))
+    for _ in range(2):
+        ingest.load_archives(spark, [str(archive)], paths, label="2026-08", buckets=4)
+    found = {r["expediente"]: r["title"] for r in ingest.read_tenders(spark, paths).collect()}
+    assert found == {"A": "Nuevo", "B": "Portal web", "C": "Portal web"}
+
+
 def test_stale_stream_fails_abandoned_runs_only(spark, tmp_path):
     folder = tmp_path / "updates"
     schema = "expediente string, status string, updated_at timestamp"
