@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,24 @@ ROLE_LABELS = {
     "administrative_paperwork": "Papeleo de licitación",
 }
 NO_AMOUNT = "Sin importe publicado"
+NO_DEADLINE = "Sin plazo publicado"
+DEADLINE_PASSED = "Plazo cerrado"
+DUE_TODAY = "Vence hoy"
+ONE_DAY_LEFT = "Queda 1 día"
+DAYS_LEFT = "Quedan {days} días"
+CRITICAL_DAYS = 3
+SOON_DAYS = 7
+
+
+def fill(template: str, **parts: Column) -> Column:
+    """A text with columns in the places of its names; null when one of them is null."""
+    pieces: list[Column] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if name:
+            pieces.append(parts[name])
+    return F.concat(*pieces)
 
 
 def label(value: Column, labels: dict[str, str]) -> Column:
@@ -81,17 +101,17 @@ def urgency(days: Column) -> Column:
     return (
         F.when(days.isNull(), "none")
         .when(days < 0, "closed")
-        .when(days <= 3, "critical")
-        .when(days <= 7, "soon")
+        .when(days <= CRITICAL_DAYS, "critical")
+        .when(days <= SOON_DAYS, "soon")
         .otherwise("comfortable")
     )
 
 
 def deadline_text(days: Column) -> Column:
     return (
-        F.when(days.isNull(), "Sin plazo publicado")
-        .when(days < 0, "Plazo cerrado")
-        .when(days == 0, "Vence hoy")
-        .when(days == 1, "Queda 1 día")
-        .otherwise(F.concat(F.lit("Quedan "), days.cast("string"), F.lit(" días")))
+        F.when(days.isNull(), NO_DEADLINE)
+        .when(days < 0, DEADLINE_PASSED)
+        .when(days == 0, DUE_TODAY)
+        .when(days == 1, ONE_DAY_LEFT)
+        .otherwise(fill(DAYS_LEFT, days=days.cast("string")))
     )

@@ -7,10 +7,15 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from noticeworks.functions.display import fill
+
 SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 UNIT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ ]"
 WORD = r"[\p{L}\p{N}]+"
+
+# Longest text kept whole, and the note after a cut one.
 MASK_LIMIT = 500
+MASK_NOTE = "{start}... [{length} caracteres, truncado]"
 
 
 def collapse(text: Column) -> Column:
@@ -55,12 +60,8 @@ def significant(tokens: Column) -> Column:
 
 def mask_long(text: Column, limit: int = MASK_LIMIT) -> Column:
     """Long text cut at `limit` characters with a note of its full length."""
-    noted = F.concat(
-        F.substring(text, 1, limit),
-        F.lit("... ["),
-        F.length(text).cast("string"),
-        F.lit(" caracteres, truncado]"),
-    )
+    length = F.length(text).cast("string")
+    noted = fill(MASK_NOTE, start=F.substring(text, 1, limit), length=length)
     return F.when(F.length(text) > limit, noted).otherwise(text)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeworks.functions.display import fill
 from noticeworks.functions.text import SPACE, visible_length
 
 # Readable-page threshold, prompt marks, clause header.
@@ -17,6 +18,7 @@ MIN_CHARS_PER_PAGE = 20
 PROMPT_OPEN = "<PLIEGO>"
 PROMPT_CLOSE = "</PLIEGO>"
 PROMPT_NEUTRAL = "[marca eliminada]"
+PROMPT_PAGE = "===== PÁGINA {page} =====\n{text}"
 CLAUSE_HEADER = r"Cl[aá]usula\s+(\d+(?:\.\d+)*)\s*[.\-:]?\s*(.+)"
 CHUNK_SIZE = 500
 
@@ -135,9 +137,7 @@ def doc_prompt(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
         "doc_id",
         "page",
         F.floor((F.col("page") - 1) / part_pages).alias("part"),
-        F.concat(
-            F.lit("===== PÁGINA "), F.col("page").cast("string"), F.lit(" =====\n"), neutral
-        ).alias("block"),
+        fill(PROMPT_PAGE, page=F.col("page").cast("string"), text=neutral).alias("block"),
     )
     parts = _joined_in_order(labelled, ["doc_id", "part"], "page", "block", "\n\n")
     last = pages.groupBy("doc_id").agg(

@@ -8,10 +8,51 @@ from pyspark.sql import functions as F
 from noticeworks import schemas
 from noticeworks.functions import certs, display
 
+# Verdicts, the role that can block, the idle limit, and the texts a reader sees.
 APTO, WITH_RESERVES, NOT_APTO = "apto", "apto_con_reservas", "no_apto"
-BLOCK, RESERVE = "block", "reserve"
 REQUIRED = "required_to_bid"
 STALE_SECONDS = 900
+TURNOVER_UNKNOWN = (
+    "El pliego exige una facturación anual mínima de {required}, pero tu perfil no declara "
+    "facturación anual -- no se puede verificar."
+)
+TURNOVER_SHORT = (
+    "Exigen una facturación anual mínima de {required} y tu perfil declara {declared}."
+)
+AMOUNT_UNKNOWN = (
+    "El pliego exige un importe acumulado de trabajos similares de {required}, pero tu perfil no "
+    "registra importe de trabajos previos -- no se puede verificar."
+)
+CERTIFICATION_MISSING = "Exigen la certificación '{name}' y tu perfil no la declara."
+CERTIFICATION_ODD = (
+    "El pliego pide '{name}' entre los requisitos, pero no es una certificación que tu perfil "
+    "pueda declarar -- compruébalo a mano en la cláusula citada."
+)
+ROW_ECONOMIC = "Solvencia económica"
+ROW_TECHNICAL = "Solvencia técnica"
+ROW_CERTIFICATIONS = "Certificaciones"
+ROW_CRITERIA = "Criterios de adjudicación"
+ROW_GUARANTEES = "Garantías"
+ROW_EXECUTION = "Plazo de ejecución"
+ROW_LOTS = "Lotes"
+TURNOVER_STATED = "Cifra de negocio mínima: {amount}"
+TURNOVER_SILENT = "No se exige una cifra concreta."
+AMOUNT_STATED = "Importe mínimo en trabajos similares: {amount}"
+AMOUNT_SILENT = "No se exige un importe concreto."
+CERTIFICATIONS_SILENT = "El pliego no menciona ninguna."
+POINTS_WITH_PRICE = "{total} puntos en total, {price} al precio."
+POINTS_ONLY = "{total} puntos en total."
+GUARANTEE_YES = "Se exige garantía provisional."
+GUARANTEE_NO = "Sin garantía provisional."
+EXECUTION_SILENT = "No indicado."
+EXTENSIONS_YES = "{base} Prórrogas: {extension}"
+EXTENSIONS_PLANNED = "previstas en el pliego."
+EXTENSIONS_NO = "{base} Sin prórrogas."
+EXTENSIONS_SILENT = "{base} El pliego no dice nada sobre prórrogas."
+LOTS_YES = "Dividido en lotes."
+LOTS_NO = "No está dividido en lotes."
+
+BLOCK, RESERVE = "block", "reserve"
 
 
 def reason(severity: Column, detail: Column, citation: Column) -> Column:
@@ -25,18 +66,8 @@ def reason(severity: Column, detail: Column, citation: Column) -> Column:
 def turnover_reason(required: Column, revenue: Column, citation: Column) -> Column:
     """Undeclared revenue reserves, a lower one blocks, an equal one passes."""
     amount = display.format_eur(required)
-    unknown = F.concat(
-        F.lit("El pliego exige una facturación anual mínima de "),
-        amount,
-        F.lit(", pero tu perfil no declara facturación anual -- no se puede verificar."),
-    )
-    short = F.concat(
-        F.lit("Exigen una facturación anual mínima de "),
-        amount,
-        F.lit(" y tu perfil declara "),
-        display.format_eur(revenue),
-        F.lit("."),
-    )
+    unknown = display.fill(TURNOVER_UNKNOWN, required=amount)
+    short = display.fill(TURNOVER_SHORT, required=amount, declared=display.format_eur(revenue))
     return F.when(
         required.isNotNull() & revenue.isNull(), reason(F.lit(RESERVE), unknown, citation)
     ).when(revenue < required, reason(F.lit(BLOCK), short, citation))
@@ -44,13 +75,7 @@ def turnover_reason(required: Column, revenue: Column, citation: Column) -> Colu
 
 def amount_reason(required: Column, citation: Column) -> Column:
     """Past work is not part of a profile, so a stated amount always reserves."""
-    detail = F.concat(
-        F.lit("El pliego exige un importe acumulado de trabajos similares de "),
-        display.format_eur(required),
-        F.lit(
-            ", pero tu perfil no registra importe de trabajos previos -- no se puede verificar."
-        ),
-    )
+    detail = display.fill(AMOUNT_UNKNOWN, required=display.format_eur(required))
     return F.when(required.isNotNull(), reason(F.lit(RESERVE), detail, citation))
 
 
@@ -58,17 +83,8 @@ def certification_reasons(required: Column, held: Column) -> Column:
     """Unmet requirements: a recognised scheme blocks, any other demand reserves."""
 
     def unmet(c: Column) -> Column:
-        missing = F.concat(
-            F.lit("Exigen la certificación '"), c["name"], F.lit("' y tu perfil no la declara.")
-        )
-        odd = F.concat(
-            F.lit("El pliego pide '"),
-            c["name"],
-            F.lit(
-                "' entre los requisitos, pero no es una certificación que tu perfil pueda "
-                "declarar -- compruébalo a mano en la cláusula citada."
-            ),
-        )
+        missing = display.fill(CERTIFICATION_MISSING, name=c["name"])
+        odd = display.fill(CERTIFICATION_ODD, name=c["name"])
         return F.when(c["formal"], reason(F.lit(BLOCK), missing, c["citation"])).otherwise(
             reason(F.lit(RESERVE), odd, c["citation"])
         )
@@ -188,72 +204,54 @@ def extraction_rows(analyses: DataFrame) -> DataFrame:
     e = lambda path: F.col(f"extraction.{path}")
     said = lambda c: F.nullif(c, F.lit(""))
 
-    def amount_or(prefix: str, amount: Column, description: Column, otherwise: str) -> Column:
-        stated = F.concat(F.lit(prefix), display.format_amount(amount))
-        return F.when(amount.isNotNull(), stated).otherwise(
-            F.coalesce(said(description), F.lit(otherwise))
+    def amount_or(stated: str, amount: Column, description: Column, silent: str) -> Column:
+        shown = display.fill(stated, amount=display.format_amount(amount))
+        return F.when(amount.isNotNull(), shown).otherwise(
+            F.coalesce(said(description), F.lit(silent))
         )
 
     price = F.get(F.filter(e("award_criteria.criteria"), lambda c: c["is_price"]), F.lit(0))
     total = plain_number(e("award_criteria.total_points"))
-    base = F.coalesce(said(e("execution_deadline.description")), F.lit("No indicado."))
+    points = F.when(
+        price.isNotNull(),
+        display.fill(POINTS_WITH_PRICE, total=total, price=plain_number(price["points"])),
+    ).otherwise(display.fill(POINTS_ONLY, total=total))
+    base = F.coalesce(said(e("execution_deadline.description")), F.lit(EXECUTION_SILENT))
     allowed = e("execution_deadline.extensions_allowed")
     extension = F.coalesce(
-        e("execution_deadline.extensions_description"), F.lit("previstas en el pliego.")
+        e("execution_deadline.extensions_description"), F.lit(EXTENSIONS_PLANNED)
     )
-    deadline = (
-        F.when(allowed, F.concat(base, F.lit(" Prórrogas: "), extension))
-        .when(~allowed, F.concat(base, F.lit(" Sin prórrogas.")))
-        .otherwise(F.concat(base, F.lit(" El pliego no dice nada sobre prórrogas.")))
+    execution = (
+        F.when(allowed, display.fill(EXTENSIONS_YES, base=base, extension=extension))
+        .when(~allowed, display.fill(EXTENSIONS_NO, base=base))
+        .otherwise(display.fill(EXTENSIONS_SILENT, base=base))
     )
+    economic = amount_or(
+        TURNOVER_STATED,
+        e("economic_solvency.minimum_annual_turnover_eur"),
+        e("economic_solvency.description"),
+        TURNOVER_SILENT,
+    )
+    technical = amount_or(
+        AMOUNT_STATED,
+        e("technical_solvency.minimum_amount_eur"),
+        e("technical_solvency.description"),
+        AMOUNT_SILENT,
+    )
+    guarantees = F.coalesce(
+        said(e("guarantees.description")),
+        F.when(e("guarantees.provisional_required"), GUARANTEE_YES).otherwise(GUARANTEE_NO),
+    )
+    lots = F.when(
+        e("lots.divided_into_lots"), F.coalesce(said(e("lots.description")), F.lit(LOTS_YES))
+    ).otherwise(LOTS_NO)
     values = {
-        "Solvencia económica": (
-            amount_or(
-                "Cifra de negocio mínima: ",
-                e("economic_solvency.minimum_annual_turnover_eur"),
-                e("economic_solvency.description"),
-                "No se exige una cifra concreta.",
-            ),
-            e("economic_solvency.citation"),
-        ),
-        "Solvencia técnica": (
-            amount_or(
-                "Importe mínimo en trabajos similares: ",
-                e("technical_solvency.minimum_amount_eur"),
-                e("technical_solvency.description"),
-                "No se exige un importe concreto.",
-            ),
-            e("technical_solvency.citation"),
-        ),
-        "Criterios de adjudicación": (
-            F.concat(
-                total,
-                F.lit(" puntos en total"),
-                F.when(
-                    price.isNotNull(),
-                    F.concat(F.lit(", "), plain_number(price["points"]), F.lit(" al precio")),
-                ).otherwise(""),
-                F.lit("."),
-            ),
-            e("award_criteria.citation"),
-        ),
-        "Garantías": (
-            F.coalesce(
-                said(e("guarantees.description")),
-                F.when(
-                    e("guarantees.provisional_required"), "Se exige garantía provisional."
-                ).otherwise("Sin garantía provisional."),
-            ),
-            e("guarantees.citation"),
-        ),
-        "Plazo de ejecución": (deadline, e("execution_deadline.citation")),
-        "Lotes": (
-            F.when(
-                e("lots.divided_into_lots"),
-                F.coalesce(said(e("lots.description")), F.lit("Dividido en lotes.")),
-            ).otherwise("No está dividido en lotes."),
-            e("lots.citation"),
-        ),
+        ROW_ECONOMIC: (economic, e("economic_solvency.citation")),
+        ROW_TECHNICAL: (technical, e("technical_solvency.citation")),
+        ROW_CRITERIA: (points, e("award_criteria.citation")),
+        ROW_GUARANTEES: (guarantees, e("guarantees.citation")),
+        ROW_EXECUTION: (execution, e("execution_deadline.citation")),
+        ROW_LOTS: (lots, e("lots.citation")),
     }
 
     def row(label: str, value: Column, citation: Column) -> Column:
@@ -267,12 +265,12 @@ def extraction_rows(analyses: DataFrame) -> DataFrame:
     named = F.transform(
         e("certifications"),
         lambda c: row(
-            "Certificaciones",
+            ROW_CERTIFICATIONS,
             F.concat(c["name"], F.lit(" · "), display.label(c["role"], display.ROLE_LABELS)),
             c["citation"],
         ),
     )
-    silent = F.array(row("Certificaciones", F.lit("El pliego no menciona ninguna."), F.lit(None)))
+    silent = F.array(row(ROW_CERTIFICATIONS, F.lit(CERTIFICATIONS_SILENT), F.lit(None)))
     ordered = F.concat(
         F.array(*rows[:2]),
         F.when(F.size(e("certifications")) > 0, named).otherwise(silent),

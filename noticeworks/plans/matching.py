@@ -304,7 +304,7 @@ LEFT JOIN (
   SELECT provider_id, 'lexical', label,
          row_number() OVER (PARTITION BY provider_id ORDER BY s DESC, expediente)
   FROM (SELECT i.provider_id, i.expediente, i.label,
-               round(sum((SELECT sum(0.1e0 / (j * j)) FROM (SELECT unnest(range(1, tt.tf + 1)) AS j)) / 1.64493406685e0)
+               round(sum(list_sum(list_transform(range(1, tt.tf + 1), lambda j: 0.1e0 / (j * j))) / 1.64493406685e0)
                      / max(q.n), 12) AS s
         FROM interests_v i JOIN title_terms_v tt ON tt.expediente = i.expediente
         JOIN query_terms_v qt ON qt.provider_id = i.provider_id AND qt.term = tt.term

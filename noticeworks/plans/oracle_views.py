@@ -129,7 +129,7 @@ FROM (SELECT provider_id, unnest(regexp_extract_all(lower(description), '[\\p{L}
 
 VIEWS["lexical_v"] = """
 SELECT c.provider_id, c.expediente,
-       round(sum((SELECT sum(0.1e0 / (j * j)) FROM (SELECT unnest(range(1, tt.tf + 1)) AS j)) / 1.64493406685e0)
+       round(sum(list_sum(list_transform(range(1, tt.tf + 1), lambda j: 0.1e0 / (j * j))) / 1.64493406685e0)
              / max(q.n), 12) AS score
 FROM candidates_v c
 JOIN title_terms_v tt ON c.expediente = tt.expediente
