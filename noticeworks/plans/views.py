@@ -49,8 +49,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 def notices_coded(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order, with the raw codes a feed entry carries."""
     lots = (
-        read_table(spark, sf, "lineitem")
-        .select("l_orderkey", "l_partkey")
+        spread(read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"))
         .join(parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey")
         # Both sets are bounded by closed vocabularies, whatever the number of lines.
@@ -180,7 +179,7 @@ def interests(spark: SparkSession, sf: str) -> DataFrame:
     """Provider and tender pairs with a judgement, from the order lines."""
     flag = F.min("l_returnflag")
     return (
-        read_table(spark, sf, "lineitem")
+        spread(read_table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag"))
         .groupBy("l_suppkey", "l_orderkey")
         .agg(
             F.when(flag == "A", "relevant")
