@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: pages on either side of a cited one.
 RADIUS = 1
 
 # The descriptions of an extraction with the question each answers.
