@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeworks.llm import cascade, secret_ledger
+from noticeworks.llm import cascade, secret_ledger, toxicity
 from noticeworks.llm.common import open_table, stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, doesn't call toxic."""
+    model = toxicity.fit(docs, open_table(spark, sf_dir, "labels"))
+    return toxicity.clean_rows(docs, model)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
     return cascade.kept_rows(docs)
@@ -19,6 +25,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("quality rules", quality_rules),
     ("secret scans", secret_scan),
 ]

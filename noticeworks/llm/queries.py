@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeworks.llm import bpe, cascade, orc_tokens, secret_ledger, sharding
+from noticeworks.llm import bpe, cascade, multi_index, orc_tokens, pu_quality, secret_ledger, sharding, toxicity
 from noticeworks.llm.common import open_table
 from noticeworks.session import shared_dir
 
@@ -19,6 +19,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = open_table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.fit(documents, open_table(spark, sf_dir, "labels")))
+
+
 def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = open_table(spark, sf_dir, "documents")
     path = shared_dir(spark, "orc-tokens")
@@ -26,6 +31,11 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.checksums(orc_tokens.read_tokens(spark, path))
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = open_table(spark, sf_dir, "documents")
+    return pu_quality.scored(documents, pu_quality.fit(documents, open_table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judged(open_table(spark, sf_dir, "documents"))
 
@@ -38,11 +48,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.summary(secret_ledger.scan(open_table(spark, sf_dir, "documents")))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(open_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_orc_tokens": op3_orc_tokens,
+    "op4_pu_quality": op4_pu_quality,
     "op5_quality_rules": op5_quality_rules,
     "op7_shards": op7_shards,
     "op8_secrets": op8_secrets,
+    "op10_multi_index": op10_multi_index,
 }
 ORACLES: dict[str, str] = {}
