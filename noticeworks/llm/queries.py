@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeworks.llm import bpe, cascade, multi_index, orc_tokens, pu_quality, secret_ledger, sharding, toxicity
+from noticeworks.llm import bpe, cascade, multi_index, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
 from noticeworks.llm.common import open_table
 from noticeworks.session import shared_dir
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 SHARDS = 40
+CAPACITY = 4096
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.summary(secret_ledger.scan(open_table(spark, sf_dir, "documents")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = open_table(spark, sf_dir, "documents")
+    return packing.packed(documents, public_tokenizers.path(WORD_VOCABULARY), end_id=1, capacity=CAPACITY)
+
+
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(open_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_shards": op7_shards,
     "op8_secrets": op8_secrets,
+    "op9_packing": op9_packing,
     "op10_multi_index": op10_multi_index,
 }
 ORACLES: dict[str, str] = {}
