@@ -1,10 +1,16 @@
-"""The corpus pipeline: stages that each take and return documents, applied one after another."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Toxic documents go, then those that a quality rule rejects; one document of each group of
+near duplicates stays; secrets are replaced by a marker; what is left is packed into
+sequences of tokens. The first four return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeworks.llm import cascade, secret_ledger, toxicity
+from noticeworks.llm import cascade, ngram_join, packing, queries, secret_ledger, toxicity
 from noticeworks.llm.common import open_table, stored
 
 
@@ -19,18 +25,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cascade.kept_rows(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a marker."""
     return secret_ledger.redact(docs)
 
 
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document with its ids, its sequence and its place there."""
+    vocabulary = public_tokenizers.path(queries.WORD_VOCABULARY)
+    return packing.packed(docs, vocabulary, end_id=1, capacity=queries.CAPACITY, with_ids=True)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", quality_rules),
-    ("secret scans", secret_scan),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack_tokens),
 ]
 
-#: Stages learn models and rank rules by measurement, which SQL cannot state.
+#: SQL can state neither the fitted classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -38,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`; each result is written and read again."""
     docs = open_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeworks.llm import bpe, cascade, multi_index, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
+from noticeworks.llm import bpe, cascade, multi_index, ngram_join, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
 from noticeworks.llm.common import open_table
 from noticeworks.session import shared_dir
 
@@ -41,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judged(open_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(open_table(spark, sf_dir, "documents"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(open_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_orc_tokens": op3_orc_tokens,
     "op4_pu_quality": op4_pu_quality,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_join": op6_ngram_join,
     "op7_shards": op7_shards,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
