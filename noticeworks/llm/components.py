@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from noticeworks.llm.common import stored
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node and component (its smallest node) for every node of the edges (a, b).
 
@@ -18,8 +22,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, number, before = stored(now, f"{label}-edges"), 0, None
-    while True:
+    now, number = stored(now, f"{label}-edges"), 0
+    before = _fingerprint(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,7 +37,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             .distinct()
         )
         now = stored(small, f"{label}-stars-{number}")
-        after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = _fingerprint(now)
         if after == before:
             break
         number, before = number + 1, after

@@ -381,9 +381,8 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     `members` is (list, doc_id, size). Each round compares every document with one leader
     of its list from another component; what is then still apart is compared in full.
     """
-    tested = None
+    tested, found = None, stored(components(links, "components"), "components")
     for turn in range(ROUNDS + 1):
-        found = components(links, f"components-{turn}")
         placed = (
             members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .withColumn("component", F.coalesce("component", "doc_id"))
@@ -392,6 +391,8 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         apart = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         apart = apart.where("low < high").select("list")
         placed = stored(placed.join(apart, "list"), f"apart-{turn}")
+        if placed.isEmpty():
+            break
         if turn < ROUNDS:
             first = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
             order = F.struct(first.alias("order"), "doc_id", "size", "component")
@@ -413,8 +414,12 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"pairs-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(links.unionByName(linked(pairs, sets)), f"links-{turn}")
-    return components(links, "components")
+        new = stored(linked(pairs, sets), f"links-{turn}")
+        if not new.isEmpty():
+            # What is known already hangs under its component; only new links change that.
+            known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = stored(components(known.unionByName(new), f"components-{turn}"), f"components-{turn}")
+    return found
 
 
 def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame:
