@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -154,7 +155,9 @@ class Splitter:
 
     def __init__(self, pattern: str, disputed: dict[str, str]):
         self.usual = regex.compile(pattern)
-        self.rare = regex.compile(f"[{regex.escape(some)}]") if (some := "".join(disputed.values())) else None
+        self.rare = set("".join(disputed.values()))
+        # Texts in most scripts lie below the first disputed character, which a range tells at once.
+        self.above = re.compile(f"[{min(self.rare)}-\U0010ffff]") if self.rare else None
         for kind, characters in disputed.items():
             if characters:
                 # Symmetric difference: the module's class with the disputed characters turned over.
@@ -162,7 +165,7 @@ class Splitter:
         self.careful = regex.compile(pattern, regex.V1)
 
     def __call__(self, text: str) -> list[str]:
-        if self.rare and not text.isascii() and self.rare.search(text):
+        if self.above and not text.isascii() and self.above.search(text) and not self.rare.isdisjoint(text):
             return self.careful.findall(text)
         return self.usual.findall(text)
 
