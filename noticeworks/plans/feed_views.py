@@ -18,6 +18,7 @@ from noticeworks.sources.tables import read_table
 
 # A page holds the entries of one month whose keys fall into one range of this width.
 PAGE_WIDTH = 4000
+# Namespace names of the public notice format.
 _NAMESPACES = (
     'xmlns="http://www.w3.org/2005/Atom" '
     'xmlns:cbc="urn:dgpe:names:draft:codice:schema:xsd:CommonBasicComponents-2" '
@@ -124,6 +125,11 @@ def entry_texts(spark: SparkSession, sf: str) -> DataFrame:
             ),
         ),
         document("LegalDocumentReference", F.col("pcap_url")),
+        # Repeated elements: the first counts.
+        F.when(
+            (key % 3 == 0) & F.col("pcap_url").isNotNull(),
+            document("LegalDocumentReference", F.lit("https://example.org/annex")),
+        ),
         document("TechnicalDocumentReference", F.col("ppt_url")),
         F.when(
             key % 4 != 0,
@@ -170,24 +176,25 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        packed = []
-        for text in batch["text"]:
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
-                archive.writestr("page.atom", text)
-                archive.writestr("readme.txt", "<feed><entry/></feed>")
-            packed.append(buffer.getvalue())
-        yield pd.DataFrame({"path": batch["path"], "content": packed})
+def _zipped(pages: pd.DataFrame) -> pd.DataFrame:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+        for page, text in sorted(zip(pages["page"], pages["text"])):
+            archive.writestr(f"page{page}.atom", text)
+        archive.writestr("readme.txt", "<feed><entry/></feed>")
+    month = pages["month"].iloc[0]
+    return pd.DataFrame({"path": [f"notices_{month}.zip"], "content": [buffer.getvalue()]})
 
 
 def archives(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page packed into an archive of its month, with a member that is no page."""
-    path = F.concat(F.lit("notices_"), "month", F.lit("_"), F.col("page").cast("string"), F.lit(".zip"))
-    return page_texts(spark, sf).select(path.alias("path"), "text").mapInPandas(
-        _zipped, "path string, content binary"
-    )
+    """The pages of each month packed into one archive, with a member that is no page.
+
+    Every fifth page breaks off within one more entry.
+    """
+    broken = F.replace("text", F.lit("</feed>"), F.lit("<entry><id>broken"))
+    text = F.when(F.col("page") % 5 == 2, broken).otherwise(F.col("text"))
+    pages = page_texts(spark, sf).select("month", "page", text.alias("text"))
+    return pages.groupBy("month").applyInPandas(_zipped, "path string, content binary")
 
 
 def _as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

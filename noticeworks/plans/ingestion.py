@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from noticeworks import schemas
@@ -10,8 +12,10 @@ from noticeworks.operators import merge, reshape
 from noticeworks.plans import feed_views, views
 from noticeworks.plans.oracle_views import VIEWS, sql_case
 from noticeworks.plans.registry import query, stamp
+from noticeworks.session import shared_dir
 from noticeworks.sources import feed
 from noticeworks.sources.tables import read_table
+from noticeworks.streaming import ingest
 
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _UTC = "(({}) AT TIME ZONE 'Europe/Madrid') AT TIME ZONE 'UTC'"
@@ -242,13 +246,13 @@ FROM entries_v""",
 def scan_entries(spark, sf):
     entries = feed.scan_entries(spark, feed_views.feed_directory(spark, sf))
     project = "ContractFolderStatus.ProcurementProject"
-    classified = F.coalesce(F.size(f"{project}.RequiredCommodityClassification"), F.lit(0))
+    classified = F.size(feed.elements(f"{project}.RequiredCommodityClassification"))
     return entries.select(
         "id",
-        F.col("ContractFolderStatus.ContractFolderID").alias("expediente"),
-        F.trim(F.coalesce(f"{project}.Name", F.lit(""))).alias("title"),
-        "updated",
-        F.greatest(classified, F.lit(0)).cast("bigint").alias("n_codes"),
+        feed.first("ContractFolderStatus.ContractFolderID").alias("expediente"),
+        F.trim(F.coalesce(feed.first(f"{project}.Name"), F.lit(""))).alias("title"),
+        feed.first("updated").alias("updated"),
+        classified.cast("bigint").alias("n_codes"),
     )
 
 
@@ -271,19 +275,41 @@ def scan_pages(spark, sf):
     )
 
 
+_ARCHIVED = """(SELECT *, order_key // 4000 AS page, 'page' || (order_key // 4000) || '.atom' AS member,
+       'notices_' || strftime(updated_at_source, '%Y%m') || '.zip' AS path FROM entries_v)"""
+
+
 @query(
     "scan_archives",
-    """
-SELECT 'notices_' || strftime(updated_at_source, '%Y%m') || '_' || (order_key // 4000) || '.zip' AS path,
-       'page.atom' AS member, expediente FROM entries_v""",
+    f"""
+SELECT path, member, expediente, false AS corrupt FROM {_ARCHIVED}
+UNION ALL SELECT DISTINCT path, member, NULL, true FROM {_ARCHIVED} WHERE page % 5 = 2""",
 )
 def scan_archives(spark, sf):
     pages = feed.archive_pages(feed_views.archives(spark, sf))
     return feed.page_entries(pages).select(
-        "path", "member", F.col("ContractFolderStatus.ContractFolderID").alias("expediente")
+        "path",
+        "member",
+        feed.first("ContractFolderStatus.ContractFolderID").alias("expediente"),
+        F.col("_corrupt_record").isNotNull().alias("corrupt"),
     )
 
 
+@query(
+    "archive_rejects",
+    f"""
+SELECT path, member, expediente, array_to_string(reasons, '; ') AS reasons FROM {_ARCHIVED} WHERE len(reasons) > 0
+UNION ALL SELECT DISTINCT path, member, NULL, 'entry malformed' FROM {_ARCHIVED} WHERE page % 5 = 2""",
+)
+def archive_rejects(spark, sf):
+    """What is refused from the archives, and where it lies; of a broken page's rest only that it is malformed."""
+    pages = feed.archive_pages(feed_views.archives(spark, sf))
+    parsed = feed.parse_entries(feed.page_entries(pages), "path", "member")
+    malformed = F.array_contains("reasons", "entry malformed")
+    reasons = F.when(malformed, F.lit("entry malformed")).otherwise(F.array_join("reasons", "; "))
+    return feed.rejects(parsed).select("path", "member", "expediente", reasons.alias("reasons"))
+
+
 def _parsed(spark, sf):
     entries = feed.scan_entries(spark, feed_views.feed_directory(spark, sf))
     return feed.parse_entries(entries)
@@ -320,15 +346,39 @@ def backfill(spark, sf):
     )
 
 
-@query(
-    "ingest_incremental",
-    f"SELECT {_TENDER_SQL} FROM entries_v WHERE {_IN_SCOPE} AND updated >= TIMESTAMP '1998-01-01'",
-)
-def ingest_incremental(spark, sf):
+_SINCE = f"SELECT {_TENDER_SQL} FROM entries_v WHERE {_IN_SCOPE} AND updated >= TIMESTAMP '1998-01-01'"
+
+
+@query("ingest_batch", _SINCE)
+def ingest_batch(spark, sf):
+    """The incremental rule as one batch job."""
     mark = F.lit("1998-01-01").cast("timestamp")
     return feed.ingest(_parsed(spark, sf), mark).select(*_tender_columns())
 
 
+@query("ingest_incremental", _SINCE)
+def ingest_incremental(spark, sf):
+    """The stream from a mark left by an earlier run, read back from the table that it merged into."""
+    paths = ingest.IngestPaths.below(feed_views.feed_directory(spark, sf), shared_dir(spark, "ingest"))
+    ingest.set_mark(spark, paths, datetime(1998, 1, 1, tzinfo=timezone.utc))
+    ingest.run_ingest(spark, paths, buckets=8)
+    return ingest.read_tenders(spark, paths).select(*_tender_columns())
+
+
+@query(
+    "ingest_counts",
+    """
+SELECT count(*) AS entries, count_if(len(reasons) > 0) AS refused,
+       strftime(max(updated) FILTER (len(reasons) = 0), '%Y-%m-%d %H:%M:%S') AS mark FROM entries_v""",
+)
+def ingest_counts(spark, sf):
+    """What a first run of the stream reports, and the mark that it leaves."""
+    paths = ingest.IngestPaths.below(feed_views.feed_directory(spark, sf), shared_dir(spark, "ingest"))
+    counts = ingest.run_ingest(spark, paths, buckets=8)
+    told = [F.lit(counts[name]).cast("bigint").alias(name) for name in ("entries", "refused")]
+    return ingest.marks(spark, paths).select(*told, stamp("high_water_mark", "mark"))
+
+
 @query(
     "parse_extraction",
     """

@@ -88,41 +88,39 @@ CITATION_BLOCKS = (
     "lots",
 )
 
-# One syndicated notice; namespaces are ignored by the reader.
-_DOCUMENT = struct(Attachment=struct(ExternalReference=struct(URI=_S)))
+# One syndicated notice; namespaces are ignored by the reader. Every element may be
+# repeated and is read as an array, or the reader would keep the last one.
+def many(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(struct(**fields))
+
+
+_M = T.ArrayType(_S)
+_DOCUMENT = many(Attachment=many(ExternalReference=many(URI=_M)))
 ENTRY = struct(
     id=_S,
-    link=T.ArrayType(struct(_href=_S, _rel=_S)),
-    updated=_S,
-    ContractFolderStatus=struct(
-        ContractFolderID=_S,
-        ContractFolderStatusCode=_S,
-        LocatedContractingParty=struct(Party=struct(PartyName=T.ArrayType(struct(Name=_S)))),
-        ProcurementProject=struct(
-            Name=_S,
-            TypeCode=_S,
-            BudgetAmount=struct(
-                TotalAmount=_S, TaxExclusiveAmount=_S, EstimatedOverallContractAmount=_S
-            ),
-            RequiredCommodityClassification=T.ArrayType(struct(ItemClassificationCode=_S)),
-            RealizedLocation=struct(CountrySubentity=_S),
+    link=many(_href=_S, _rel=_S),
+    updated=_M,
+    ContractFolderStatus=many(
+        ContractFolderID=_M,
+        ContractFolderStatusCode=_M,
+        LocatedContractingParty=many(Party=many(PartyName=many(Name=_M))),
+        ProcurementProject=many(
+            Name=_M,
+            TypeCode=_M,
+            BudgetAmount=many(TotalAmount=_M, TaxExclusiveAmount=_M, EstimatedOverallContractAmount=_M),
+            RequiredCommodityClassification=many(ItemClassificationCode=_M),
+            RealizedLocation=many(CountrySubentity=_M),
         ),
-        TenderingProcess=struct(
-            ProcedureCode=_S,
-            TenderSubmissionDeadlinePeriod=struct(EndDate=_S, EndTime=_S),
+        TenderingProcess=many(
+            ProcedureCode=_M,
+            TenderSubmissionDeadlinePeriod=many(EndDate=_M, EndTime=_M),
         ),
         LegalDocumentReference=_DOCUMENT,
         TechnicalDocumentReference=_DOCUMENT,
-        ValidNoticeInfo=T.ArrayType(
-            struct(
-                AdditionalPublicationStatus=T.ArrayType(
-                    struct(
-                        AdditionalPublicationDocumentReference=T.ArrayType(struct(IssueDate=_S))
-                    )
-                )
-            )
+        ValidNoticeInfo=many(
+            AdditionalPublicationStatus=many(AdditionalPublicationDocumentReference=many(IssueDate=_M))
         ),
     ),
 )
 
-FEED = struct(link=T.ArrayType(struct(_href=_S, _rel=_S)), entry=T.ArrayType(ENTRY))
+FEED = struct(link=many(_href=_S, _rel=_S), entry=T.ArrayType(ENTRY))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +25,8 @@ XML_OPTIONS = {
     "columnNameOfCorruptRecord": "_corrupt_record",
     "encoding": "UTF-8",
 }
-MAX_ARCHIVE_BYTES = 1 << 30
+# The engine holds a file as one value of at most this many bytes; larger archives are refused by name.
+MAX_VALUE_BYTES = (1 << 31) - 1
 
 
 def _entry_schema() -> T.StructType:
@@ -56,46 +61,139 @@ def next_link(links: Column) -> Column:
     return F.get(F.filter(links, lambda x: x["_rel"] == "next"), F.lit(0))["_href"]
 
 
+def elements(path: str, *more: str) -> Column:
+    """All elements at a path below the entry, in the order of the document."""
+    head, *steps = (*path.split("."), *more)
+    return reduce(
+        lambda found, name: F.flatten(
+            F.transform(found, lambda one: F.coalesce(one[name], F.array()))
+        ),
+        steps,
+        F.coalesce(F.col(head), F.array()),
+    )
+
+
+def first(path: str) -> Column:
+    """The first element at a path; null if there is none."""
+    return F.get(elements(path), F.lit(0))
+
+
+def _fragments(text: Column) -> Column:
+    """The entries of a page, and what follows the last one if the page breaks off there."""
+    whole = F.regexp_extract_all(text, F.lit(r"(?s)<entry[\s>].*?</entry\s*>"), F.lit(0))
+    rest = F.regexp_replace(text, r"(?s)\A.*</entry\s*>", "")
+    broken = rest.rlike(r"<entry[\s>]") | ~text.rlike(r"</feed\s*>\s*\z")
+    return F.concat(whole, F.when(broken, F.array(rest)).otherwise(F.array()))
+
+
 def page_entries(pages: DataFrame, text: str = "text") -> DataFrame:
-    """One row per entry of page texts; the other columns are kept."""
-    kept = [c for c in pages.columns if c != text]
+    """One row per entry of page texts; the other columns are kept.
+
+    A page that breaks off gives its whole entries and one corrupt record with the rest; a
+    page with an `error` instead of a text gives one corrupt record with the error.
+    """
+    kept = [c for c in pages.columns if c not in (text, "error")]
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    pieces = F.when(error.isNull() & F.col(text).isNotNull(), _fragments(F.col(text)))
+    pieces = F.coalesce(pieces, F.array(F.coalesce(error, F.lit("page without text"))))
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    corrupt = F.when(~F.col("piece").rlike(r"(?s)\A<entry[\s>].*</entry\s*>\z"), F.col("piece"))
     return (
-        pages.select(*kept, parse_page(F.col(text)).alias("feed"))
-        .select(*kept, F.explode("feed.entry").alias("entry"))
-        .select(*kept, "entry.*")
+        pages.select(*kept, F.explode(pieces).alias("piece"))
+        .select(*kept, "piece", F.from_xml("piece", _entry_schema(), options).alias("entry"))
+        .select(
+            *kept,
+            *[F.col(f"entry.{name}").alias(name) for name in schemas.ENTRY.fieldNames()],
+            F.coalesce("entry._corrupt_record", corrupt).alias("_corrupt_record"),
+        )
     )
 
 
 def scan_archive_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Archives as (path, content), the size limit being applied before content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .load(paths)
-        .filter(F.col("length") <= MAX_ARCHIVE_BYTES)
-        .select("path", "content")
+    """Archives as (path, content); one that the engine can't hold has an error instead of content."""
+    files = spark.read.format("binaryFile").load(paths)
+    none = F.lit(None)
+    held = files.filter(F.col("length") <= MAX_VALUE_BYTES).select("path", "content", none.cast("string").alias("error"))
+    larger = files.filter(F.col("length") > MAX_VALUE_BYTES).select(
+        "path", none.cast("binary").alias("content"), F.lit("archive too large").alias("error")
     )
+    return held.unionByName(larger)
+
+
+_MEMBER = "path string, member string, method int, crc bigint, packed binary, error string"
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The feed pages of archives as they are packed, found through the archive's directory."""
+    names = [column.split()[0] for column in _MEMBER.split(", ")]
+    for batch in batches:
+        for path, content, error in zip(batch["path"], batch["content"], batch["error"]):
+            rows = []
+            try:
+                if error is not None:
+                    raise zipfile.BadZipFile(error)
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for info in archive.infolist():
+                        if info.filename.endswith(".atom"):
+                            lengths = struct.unpack_from("<HH", content, info.header_offset + 26)
+                            start = info.header_offset + 30 + sum(lengths)
+                            packed = content[start : start + info.compress_size]
+                            fault = "member encrypted" if info.flag_bits & 1 else None
+                            rows.append((path, info.filename, info.compress_type, info.CRC, packed, fault))
+            except (zipfile.BadZipFile, struct.error) as fault:
+                rows.append((path, None, None, None, None, error or f"archive unreadable: {fault}"))
+            for row in rows:
+                frame = pd.DataFrame([row], columns=names)
+                yield frame.astype({"method": "Int32", "crc": "Int64"})
+
+
+_DECLARED = re.compile(rb"""\A(?:\xef\xbb\xbf)?\s*<\?xml[^>]*?encoding=["']([A-Za-z0-9._-]+)["']""")
+
+
+def _unpacked(packed: bytes, method: int, crc: int) -> str:
+    """The text of a member, by its declared encoding; raises a ValueError that says what is wrong."""
+    if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError("member packed in an unknown way")
+    try:
+        content = packed if method == zipfile.ZIP_STORED else zlib.decompress(packed, -15)
+    except zlib.error as fault:
+        raise ValueError("member damaged") from fault
+    if zlib.crc32(content) != crc:
+        raise ValueError("member damaged")
+    declared = _DECLARED.match(content)
+    encoding = declared.group(1).decode("ascii") if declared else "utf-8"
+    try:
+        return content.decode("utf-8-sig" if encoding.lower() == "utf-8" else encoding)
+    except (UnicodeDecodeError, LookupError) as fault:
+        raise ValueError(f"member not readable as {encoding}") from fault
+
+
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    if name.endswith(".atom"):
-                        page = archive.read(name).decode("utf-8", errors="replace")
-                        yield pd.DataFrame({"path": [path], "member": [name], "text": [page]})
+        texts, errors = [], []
+        for packed, method, crc, error in zip(batch["packed"], batch["method"], batch["crc"], batch["error"]):
+            text = None
+            if error is None:
+                try:
+                    text = _unpacked(packed, int(method), int(crc))
+                except ValueError as fault:
+                    error = str(fault)
+            texts.append(text)
+            errors.append(error)
+        yield pd.DataFrame({"path": batch["path"], "member": batch["member"], "text": texts, "error": errors})
 
 
 def archive_pages(archives: DataFrame) -> DataFrame:
-    """Every feed page packed in the archives, one member in memory at a time.
+    """Every feed page packed in the archives: path, member and its text, or an error.
 
-    The pages are dealt out again before they are parsed, so that an archive
-    which holds most of the data does not keep its pages in one task.
+    A task that holds an archive only cuts it into its packed members; these are dealt out,
+    then unpacked, checked and decoded, so one archive keeps many tasks busy.
     """
-    pages = archives.select("path", "content").mapInPandas(
-        _members, "path string, member string, text string"
+    error = F.col("error") if "error" in archives.columns else F.lit(None).cast("string")
+    members = archives.select("path", "content", error.alias("error")).mapInPandas(_members, _MEMBER)
+    return members.repartition("path", "member").mapInPandas(
+        _pages, "path string, member string, text string, error string"
     )
-    return pages.repartition("path", "member")
 
 
 def archive_paths(base: str, reference: str, count: int, spark: SparkSession) -> list[str]:
@@ -121,50 +219,31 @@ def parse_entries(entries: DataFrame, *extra: str) -> DataFrame:
     period = f"{process}.TenderSubmissionDeadlinePeriod"
     budget = f"{project}.BudgetAmount"
     uri = "Attachment.ExternalReference.URI"
+    issued = "AdditionalPublicationStatus.AdditionalPublicationDocumentReference.IssueDate"
+    given = lambda x: x.isNotNull() & (x != "")
     raw = entries.select(
         *extra,
         *(["_corrupt_record"] if "_corrupt_record" in entries.columns else []),
-        F.col(f"{status}.ContractFolderID").alias("expediente"),
-        F.get(F.col(f"{status}.LocatedContractingParty.Party.PartyName"), F.lit(0))["Name"].alias(
-            "contracting_body"
-        ),
-        F.col(f"{project}.Name").alias("title"),
+        first(f"{status}.ContractFolderID").alias("expediente"),
+        first(f"{status}.LocatedContractingParty.Party.PartyName.Name").alias("contracting_body"),
+        first(f"{project}.Name").alias("title"),
         F.filter(
-            F.transform(
-                f"{project}.RequiredCommodityClassification", lambda c: c["ItemClassificationCode"]
-            ),
-            lambda c: c.isNotNull() & (c != ""),
+            elements(f"{project}.RequiredCommodityClassification.ItemClassificationCode"), given
         ).alias("codes"),
-        F.col(f"{budget}.TotalAmount").alias("with_vat"),
-        F.col(f"{budget}.TaxExclusiveAmount").alias("without_vat"),
-        F.col(f"{budget}.EstimatedOverallContractAmount").alias("estimated"),
-        F.col(f"{project}.TypeCode").alias("type_code"),
-        F.col(f"{process}.ProcedureCode").alias("procedure_code"),
-        F.col(f"{status}.ContractFolderStatusCode").alias("status_code"),
-        F.col(f"{period}.EndDate").alias("end_date"),
-        F.col(f"{period}.EndTime").alias("end_time"),
-        F.col(f"{project}.RealizedLocation.CountrySubentity").alias("location"),
-        F.col(f"{status}.LegalDocumentReference.{uri}").alias("pcap_url"),
-        F.col(f"{status}.TechnicalDocumentReference.{uri}").alias("ppt_url"),
+        first(f"{budget}.TotalAmount").alias("with_vat"),
+        first(f"{budget}.TaxExclusiveAmount").alias("without_vat"),
+        first(f"{budget}.EstimatedOverallContractAmount").alias("estimated"),
+        first(f"{project}.TypeCode").alias("type_code"),
+        first(f"{process}.ProcedureCode").alias("procedure_code"),
+        first(f"{status}.ContractFolderStatusCode").alias("status_code"),
+        first(f"{period}.EndDate").alias("end_date"),
+        first(f"{period}.EndTime").alias("end_time"),
+        first(f"{project}.RealizedLocation.CountrySubentity").alias("location"),
+        first(f"{status}.LegalDocumentReference.{uri}").alias("pcap_url"),
+        first(f"{status}.TechnicalDocumentReference.{uri}").alias("ppt_url"),
         F.get(F.col("link"), F.lit(0))["_href"].alias("platform_url"),
-        F.filter(
-            F.flatten(
-                F.flatten(
-                    F.transform(
-                        f"{status}.ValidNoticeInfo",
-                        lambda v: F.transform(
-                            v["AdditionalPublicationStatus"],
-                            lambda s: F.transform(
-                                s["AdditionalPublicationDocumentReference"],
-                                lambda d: d["IssueDate"],
-                            ),
-                        ),
-                    )
-                )
-            ),
-            lambda d: d.isNotNull() & (d != ""),
-        ).alias("issue_dates"),
-        F.col("updated").alias("updated_text"),
+        F.filter(elements(f"{status}.ValidNoticeInfo.{issued}"), given).alias("issue_dates"),
+        first("updated").alias("updated_text"),
     )
     money = lambda c: F.col(c).try_cast(schemas.MONEY)
     typed = (
@@ -212,8 +291,10 @@ def accepted(parsed: DataFrame) -> DataFrame:
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
+    """Refused rows with their reasons, and where they came from if that is known."""
+    place = [c for c in ("path", "member") if c in parsed.columns]
     return parsed.filter(F.size("reasons") > 0).select(
-        "expediente", F.col("updated_text").alias("updated"), "reasons"
+        *place, "expediente", F.col("updated_text").alias("updated"), "reasons"
     )
 
 

@@ -181,11 +181,15 @@ def test_finished_staging_is_used_after_a_crash(spark, tmp_path, monkeypatch):
     ingest.write_batch(parsed(spark, entry("A"), entry("B")), "b0", paths, None, 1)
     batch = parsed(spark, entry("C"))
 
-    def die(session, path):
-        raise RuntimeError("lost")
+    commit = ingest._commit
+
+    def die(session, where, label, state):
+        if state == "done":
+            raise RuntimeError("lost")
+        commit(session, where, label, state)
 
     with monkeypatch.context() as patched:
-        patched.setattr(ingest, "_remove", die)
+        patched.setattr(ingest, "_commit", die)
         with pytest.raises(RuntimeError):
             ingest.write_batch(batch, "b1", paths, None, 1)
     for file in (tmp_path / "store" / "tenders" / "bucket=0").glob("*.parquet"):
@@ -206,6 +210,78 @@ def test_archives_merge_into_the_same_table(spark, tmp_path):
     assert found == {"A": "Nuevo", "B": "Portal web", "C": "Portal web"}
 
 
+def test_archive_loads_leave_no_mark(spark, tmp_path):
+    """A refused notice of the far future in an archive, then a feed page: nothing is lost."""
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    archive = tmp_path / "notices_202608.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        packed.writestr("x.atom", page(entry("far", updated="2099-01-01T00:00:00+00:00", status="?"), entry("A")))
+    ingest.load_archives(spark, [str(archive)], paths, label="x", buckets=2)
+    land(tmp_path / "feed", "p1", entry("B", updated="2026-09-05T00:00:00+00:00"),
+         entry("C", updated="2098-01-01T00:00:00+00:00", title=" "))
+    ingest.run_ingest(spark, paths, buckets=2)
+    assert ingest.marks(spark, paths).first()["high_water_mark"] == dt.datetime(2026, 9, 5)
+    land(tmp_path / "feed", "p2", entry("D", updated="2026-09-06T00:00:00+00:00"))
+    ingest.run_ingest(spark, paths, buckets=2)
+    assert sorted(r["expediente"] for r in ingest.read_tenders(spark, paths).collect()) == ["A", "B", "D"]
+    assert sorted(r["expediente"] for r in ingest.read_rejects(spark, paths).collect()) == ["C", "far"]
+
+
+def test_counts_of_more_batches_than_the_progress_history(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    for number in range(4):
+        land(tmp_path / "feed", f"p{number}", entry(f"K{number}"), entry(f"bad{number}", status="?"))
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        assert ingest.run_ingest(spark, paths, max_files=1, buckets=2) == {"entries": 8, "refused": 4}
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+
+
+def test_a_month_that_was_loaded_is_not_loaded_again(spark, tmp_path, monkeypatch):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    archives = []
+    for month in ("202607", "202608"):
+        archives.append(str(tmp_path / f"notices_{month}.zip"))
+        with zipfile.ZipFile(archives[-1], "w") as packed:
+            packed.writestr("x.atom", page(entry(f"K{month}")))
+    ingest.load_archives(spark, archives[:1], paths, label="x", buckets=2)
+    labels, write = [], ingest.write_batch
+    monkeypatch.setattr(ingest, "write_batch", lambda batch, label, *a, **b: (labels.append(label), write(batch, label, *a, **b)))
+    ingest.load_archives(spark, archives, paths, label="x", buckets=2)
+    assert labels == ["load-x-notices_202608.zip"]
+    assert ingest.read_tenders(spark, paths).count() == 2
+
+
+def test_broken_archives_pages_and_bytes_are_refused_by_name(spark, tmp_path):
+    whole = page(entry("A"), entry("B"))
+    with zipfile.ZipFile(tmp_path / "good.zip", "w", zipfile.ZIP_DEFLATED) as packed:
+        packed.writestr("a.atom", whole)
+        packed.writestr("cut.atom", page(entry("C"), entry("D"))[:-200])
+        packed.writestr("latin.atom", '<?xml version="1.0" encoding="iso-8859-1"?>'.encode() + page(entry("E", title="Año")).encode("latin-1"))
+        packed.writestr("bytes.atom", page(entry("F", title="Año")).encode("latin-1"))
+        packed.writestr("text.atom", "no page at all")
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    archives = feed.scan_archive_files(spark, [str(tmp_path / "good.zip"), str(tmp_path / "broken.zip")])
+    rows = feed.parse_entries(feed.page_entries(feed.archive_pages(archives)), "path", "member")
+    kept = {r["expediente"]: r["title"] for r in feed.accepted(rows).collect()}
+    assert kept == {"A": "Portal web", "B": "Portal web", "C": "Portal web", "E": "Año"}
+    refused = {(r["path"].rsplit("/", 1)[-1], r["member"]): r["reasons"] for r in feed.rejects(rows).collect()}
+    assert set(refused) == {("good.zip", "cut.atom"), ("good.zip", "bytes.atom"), ("good.zip", "text.atom"), ("broken.zip", None)}
+    assert all("entry malformed" in reasons for reasons in refused.values())
+
+
+def test_first_of_repeated_elements_counts(spark):
+    twice = entry("A").replace("</cacx:ContractFolderStatus>", (
+        "<cac:LegalDocumentReference><cac:Attachment><cac:ExternalReference><cbc:URI>https://example.org/second"
+        "</cbc:URI></cac:ExternalReference></cac:Attachment></cac:LegalDocumentReference>"
+        "<cac:ProcurementProject><cbc:Name>Otro</cbc:Name><cbc:TypeCode>1</cbc:TypeCode></cac:ProcurementProject>"
+        "</cacx:ContractFolderStatus>"))
+    row = feed.accepted(parsed(spark, twice)).first()
+    assert (row["pcap_url"], row["title"], row["contract_type"]) == ("https://example.org/pcap", "Portal web", "services")
+
+
 def test_stale_stream_fails_abandoned_runs_only(spark, tmp_path):
     folder = tmp_path / "updates"
     schema = "expediente string, status string, updated_at timestamp"
