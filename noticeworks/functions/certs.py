@@ -8,16 +8,20 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticeworks.functions.codes import literal_map
+
 # Fixed value: the scheme families a requirement names, without regard to case.
 FORMAL = r"(?:ISO/?\s?IEC|ISO|UNE(?:[-\s]?EN)?|EN)\s?\d{4,5}|CMMI|ENS\b|CCN-?CERT|ENAC"
+# Fixed value: the number of a standard.
+NUMBER = r"\d{4,5}"
 _FORMAL = "(?iU)" + FORMAL
 
 
 @lru_cache(maxsize=1)
-def folding() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one ASCII character, and that character."""
-    accented, plain = [], []
-    for point in range(0x80, 0x10000):
+def folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII character, that character, and all longer decompositions."""
+    accented, plain, longer = [], [], {}
+    for point in range(0x80, 0x110000):
         if 0xD800 <= point <= 0xDFFF:
             continue
         decomposed = unicodedata.normalize("NFKD", chr(point))
@@ -25,13 +29,25 @@ def folding() -> tuple[str, str]:
         if len(base) == 1 and base.isascii() and base.isalnum():
             accented.append(chr(point))
             plain.append(base)
-    return "".join(accented), "".join(plain)
+        elif any(c.isascii() and c.isalnum() for c in base):
+            longer[chr(point)] = base
+    return "".join(accented), "".join(plain), longer
+
+
+def _plain_text(text: Column) -> Column:
+    accented, plain, longer = folding()
+    opened = F.regexp_replace(text, r"\p{Mn}+", "")
+    marks = "[" + "".join(longer) + "]"
+    spelled = F.transform(
+        F.split(opened, ""), lambda c: F.coalesce(F.try_element_at(literal_map(longer), c), c)
+    )
+    # Few texts hold a character that becomes several; only those are taken apart.
+    return F.translate(F.when(opened.rlike(marks), F.array_join(spelled, "")).otherwise(opened), accented, plain)
 
 
 def fold(text: Column) -> Column:
-    """Lowercase text without accents."""
-    accented, plain = folding()
-    return F.lower(F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), accented, plain))
+    """Lowercase text without accents; a character such as a ligature becomes all its letters."""
+    return F.lower(_plain_text(text))
 
 
 def word_list(name: Column) -> Column:
@@ -56,7 +72,7 @@ def identities(name: Column) -> Column:
     marks = F.regexp_extract_all(name, F.lit(_FORMAL), F.lit(0))
 
     def identity(mark: Column) -> Column:
-        digits = F.regexp_extract(mark, r"\d{4,5}", 0)
+        digits = F.regexp_extract(mark, NUMBER, 0)
         return F.coalesce(F.nullif(digits, F.lit("")), normalized_name(mark))
 
     return F.when(F.size(marks) == 0, F.array(normalized_name(name))).otherwise(

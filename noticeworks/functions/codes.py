@@ -10,13 +10,13 @@ CONTRACT_TYPES = {
     "1": "supplies",
     "2": "services",
     "3": "works",
-    "7": "special_administrative",
-    "8": "private",
     "21": "public_services_management",
     "22": "services_concession",
     "31": "public_works_concession",
     "32": "works_concession",
     "40": "public_private_collaboration",
+    "7": "special_administrative",
+    "8": "private",
     "50": "patrimonial",
 }
 STATUSES = {
@@ -50,7 +50,7 @@ FULL_CODE_LENGTH = 8
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
-    return F.expr("map(" + ", ".join(f"'{key}', '{value}'" for key, value in mapping.items()) + ")")
+    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
 
 
 def label_of(code: Column, mapping: dict[str, str]) -> Column:

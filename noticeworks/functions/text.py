@@ -6,6 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeworks.functions.display import fill
 
@@ -65,6 +66,20 @@ def mask_long(text: Column, limit: int = MASK_LIMIT) -> Column:
     return F.when(F.length(text) > limit, noted).otherwise(text)
 
 
+def mask_long_deep(value: Column, kind: T.DataType, limit: int = MASK_LIMIT) -> Column:
+    """Long text cut wherever it stands in a nested value of the given type; the shape stays."""
+    if isinstance(kind, T.StringType):
+        return mask_long(value, limit)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: mask_long_deep(x, kind.elementType, limit))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: mask_long_deep(x, kind.valueType, limit))
+    if isinstance(kind, T.StructType):
+        fields = [mask_long_deep(value[f.name], f.dataType, limit).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def mask_long_all(texts: Column, limit: int = MASK_LIMIT) -> Column:
     return F.transform(texts, lambda t: mask_long(t, limit))
 

@@ -23,7 +23,8 @@ CLAUSE_HEADER = r"Cl[aá]usula\s+(\d+(?:\.\d+)*)\s*[.\-:]?\s*(.+)"
 CHUNK_SIZE = 500
 
 BLOCK_PAGES = 4096
-PART_PAGES = 500
+# Prompts and clauses come in parts of so many pages, whatever their length.
+PART_PAGES = 4
 
 
 def text_layer(pages: DataFrame) -> DataFrame:
@@ -123,10 +124,9 @@ def _joined_in_order(
 
 
 def doc_prompt(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """The labelled text of a document between two marks, in parts of `part_pages` pages.
+    """The labelled text of a document between two marks: one row per `part_pages` pages.
 
-    A document of up to `part_pages` pages comes as one part; a longer one as
-    parts 0, 1, ... whose concatenation is the whole prompt.
+    The parts of a document concatenate to its whole prompt in the order of `part`.
     """
     neutral = F.replace(
         F.replace(F.col("text"), F.lit(PROMPT_CLOSE), F.lit(PROMPT_NEUTRAL)),
@@ -140,10 +140,9 @@ def doc_prompt(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
         fill(PROMPT_PAGE, page=F.col("page").cast("string"), text=neutral).alias("block"),
     )
     parts = _joined_in_order(labelled, ["doc_id", "part"], "page", "block", "\n\n")
-    last = pages.groupBy("doc_id").agg(
-        F.max(F.floor((F.col("page") - 1) / part_pages)).alias("last_part")
-    )
-    opening = F.when(F.col("part") == 0, F.lit(PROMPT_OPEN + "\n")).otherwise("")
+    number = F.floor((F.col("page") - 1) / part_pages)
+    last = pages.groupBy("doc_id").agg(F.min(number).alias("first_part"), F.max(number).alias("last_part"))
+    opening = F.when(F.col("part") == F.col("first_part"), F.lit(PROMPT_OPEN + "\n")).otherwise("")
     closing = F.when(F.col("part") == F.col("last_part"), F.lit("\n" + PROMPT_CLOSE)).otherwise(
         "\n\n"
     )
@@ -156,12 +155,12 @@ _FLAGS = "(?iumdU)"
 
 
 def clause_chunks(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """One row per clause: from its header to the next one, with the page it starts on.
+    """Clauses, each from its header to the next one, with the page it starts on.
 
     Text before the first header of a document is dropped. Every page splits
     into pieces by itself; the number of headers on earlier pages tells which
-    clause a piece belongs to. A clause longer than `part_pages` pages comes in
-    numbered parts.
+    clause a piece belongs to. A clause comes in numbered parts, one for each
+    `part_pages` pages from the one it starts on.
     """
     starts = F.col("text").rlike(rf"(?iudU)\A{CLAUSE_HEADER}")
     split = pages.select(
@@ -195,11 +194,14 @@ def clause_chunks(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
         .withColumn("header", F.when(is_header, F.col("piece")))
     )
     header = F.max("header").alias("header")
-    last_page = F.max("page").alias("last_page")
-    joined = _joined_in_order(
-        numbered, ["doc_id", "clause_index", "start_page", "part"], "page", "piece", "", header, last_page
+    clause = Window.partitionBy("doc_id", "clause_index")
+    joined = (
+        _joined_in_order(
+            numbered, ["doc_id", "clause_index", "start_page", "part"], "page", "piece", "", header
+        )
+        .withColumn("header", F.max("header").over(clause))
+        .withColumn("last_part", F.max("part").over(clause))
     )
-    may_continue = F.col("last_page") - F.col("start_page") == (F.col("part") + 1) * part_pages - 1
     trimmed = F.regexp_replace("text", rf"{SPACE}+\z", "")
     at_start = rf"(?iudU)\A{CLAUSE_HEADER}"
     strip = lambda c: F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -210,7 +212,7 @@ def clause_chunks(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
         F.regexp_extract("header", at_start, 1).alias("number"),
         strip(F.regexp_extract("header", at_start, 2)).alias("title"),
         F.col("start_page").alias("page"),
-        F.when(may_continue, F.col("text")).otherwise(trimmed).alias("text"),
+        F.when(F.col("part") < F.col("last_part"), F.col("text")).otherwise(trimmed).alias("text"),
     )
 
 
@@ -239,26 +241,35 @@ def hash_reuse(analyses: DataFrame) -> DataFrame:
         at(2, "donor_status").alias("second_status"),
     )
     own = F.col("first") == F.col("expediente")
-    return analyses.join(donors, "pdf_hash", "left").select(
+    rows = analyses.select("expediente", "pdf_hash", "status")
+    found = rows.filter(F.col("pdf_hash").isNotNull()).join(donors, "pdf_hash", "left").select(
         "expediente",
         "pdf_hash",
         "status",
         F.when(own, F.col("second")).otherwise(F.col("first")).alias("donor"),
         F.when(own, F.col("second_status")).otherwise(F.col("first_status")).alias("donor_status"),
     )
+    # Without a hash there is no donor, and no reason for such rows to meet in one place.
+    without = rows.filter(F.col("pdf_hash").isNull())
+    return found.unionByName(without, allowMissingColumns=True)
+
+
+# What an analysis takes over from its donor, besides the status.
+COPIED = ("extraction", "citation_faithfulness", "error_message")
 
 
 def copy_from_donor(analyses: DataFrame) -> DataFrame:
-    """Unsettled analyses take status and extraction from their donor, if there is one."""
-    reuse = hash_reuse(analyses).select("expediente", "donor", "donor_status")
+    """Unsettled analyses take over the result of their donor, if there is one; `reused` marks them."""
+    reuse = hash_reuse(analyses).filter(~F.col("status").isin(*SETTLED) & F.col("donor").isNotNull())
     given = analyses.select(
-        F.col("expediente").alias("donor"), F.col("extraction").alias("donor_extraction")
+        F.col("expediente").alias("donor"), *[F.col(c).alias(f"donor_{c}") for c in COPIED]
     )
-    needs = ~F.col("status").isin(*SETTLED) & F.col("donor").isNotNull()
+    copies = reuse.join(given, "donor").drop("pdf_hash", "status", "donor")
+    taken = F.col("donor_status").isNotNull()
+    chosen = {c: F.when(taken, F.col(f"donor_{c}")).otherwise(F.col(c)) for c in ("status", *COPIED)}
     return (
-        analyses.join(reuse, "expediente")
-        .join(given, "donor", "left")
-        .withColumn("extraction", F.when(needs, F.col("donor_extraction")).otherwise(F.col("extraction")))
-        .withColumn("status", F.when(needs, F.col("donor_status")).otherwise(F.col("status")))
-        .drop("donor_extraction", "donor_status")
+        analyses.join(copies, "expediente", "left")
+        .withColumns(chosen | {"reused": taken})
+        .drop(*[f"donor_{c}" for c in ("status", *COPIED)])
     )
+

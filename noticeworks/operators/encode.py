@@ -2,56 +2,75 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Encoder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+from noticeworks.functions.text import SPACE
+
+#: From a text column to a vector column; a model comes as a pandas UDF.
+Encoder = Callable[[Column], Column]
+_HEX = "0123456789abcdef"
 
 
 def hashing_encoder(dimension: int = 64) -> Encoder:
-    """Unit vectors of hashed words: no model file, the same on every executor."""
-
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            vectors = []
-            for text in texts:
-                vector = np.zeros(dimension, dtype=np.float32)
-                for word in (text or "").lower().split():
-                    code = zlib.crc32(word.encode("utf-8"))
-                    vector[code % dimension] += 1.0 if code & 0x80000000 else -1.0
-                length = float(np.linalg.norm(vector))
-                vectors.append(vector / length if length > 0 else vector)
-            yield pd.Series(vectors)
+    """Unit vectors of hashed words, up to 64 places: no model file, no Python.
+
+    The first two digits of a word's MD5 choose the place, the third the sign.
+    """
+
+    def encode(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), lambda w: w != "")
+        digit = lambda w, n: F.instr(F.lit(_HEX), F.substring(F.md5(w.cast("binary")), n, 1)) - 1
+        signed = F.transform(
+            words,
+            lambda w: F.struct(
+                F.pmod(digit(w, 1) * 4 + F.floor(digit(w, 2) / 4), F.lit(dimension)).cast("int").alias("place"),
+                F.when(digit(w, 3) % 2 == 1, 1).otherwise(-1).alias("sign"),
+            ),
+        )
+        # One pass over the words; each adds its sign at its place.
+        sums = F.aggregate(
+            signed,
+            F.array_repeat(F.lit(0), dimension),
+            lambda found, w: F.transform(
+                found, lambda x, at: x + F.when(at == w["place"], w["sign"]).otherwise(0)
+            ),
+        )
+        return unit(sums)
 
     return encode
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(sums: Column) -> Column:
+    """A vector of whole numbers brought to length one; the zero vector stays."""
+
+    def length(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x)
+        return F.greatest(F.sqrt(squares), F.lit(1e-9))
+
+    divided = lambda v: bound(length(v), lambda n: F.transform(v, lambda x: x / n))
+    return bound(sums, divided).cast("array<float>")
+
+
 def encode_texts(rows: DataFrame, text: str, encoder: Encoder, output: str = "embedding") -> DataFrame:
     """Adds the vector of a text column; equal texts are encoded once.
 
     Copies are folded by content hash before the encoder, and only the hash and
     the vector travel back to them.
     """
-    typed = F.pandas_udf(_with_hints(encoder), "array<float>")
     hashed = rows.withColumn("text_hash", F.sha2(F.col(text).cast("binary"), 256))
     distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("distinct_text"))
-    vectors = distinct.select("text_hash", typed("distinct_text").alias(output))
+    vectors = distinct.select("text_hash", encoder(F.col("distinct_text")).alias(output))
     return hashed.join(vectors, "text_hash").drop("text_hash")
 
 
-def _with_hints(encoder: Encoder) -> Encoder:
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from encoder(batches)
-
-    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return encode
-
-
 def backfill_vectors(rows: DataFrame, key: str, text: str, encoder: Encoder) -> DataFrame:
     """Rows whose vector is null get one; the others keep theirs."""
     missing = rows.filter(F.col("embedding").isNull()).select(key, text)

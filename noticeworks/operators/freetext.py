@@ -18,6 +18,7 @@ QUESTIONS = {
     "subcontracting": "¿En qué condiciones admite el pliego la subcontratación?",
     "lots": "¿Está el contrato dividido en lotes y en qué términos se puede licitar a ellos?",
 }
+# Why a description is skipped.
 NO_CITATION = "sin cita"
 NO_PAGE = "la página citada no existe en el documento"
 

@@ -153,6 +153,20 @@ def funnel_counts(tenders: DataFrame, providers: DataFrame, as_of: Column) -> Da
     )
 
 
+def match_answer(counts: DataFrame, *, limit: int, offset: int = 0) -> DataFrame:
+    """The envelope of each provider's matches: all that pass, the page, and the counts of the stages."""
+    total = F.col("after_location")
+    stages = ("after_status", "after_code", "after_budget", "after_location")
+    return counts.select(
+        "provider_id",
+        total.alias("total"),
+        F.greatest(F.lit(0), F.least(F.lit(limit), total - offset)).cast("bigint").alias("returned"),
+        F.lit(limit).cast("bigint").alias("limit"),
+        F.col("total").alias("funnel_total"),
+        *[F.col(stage).alias(f"funnel_{stage}") for stage in stages],
+    )
+
+
 def empty_stage(counts: DataFrame) -> DataFrame:
     """The first stage that left a provider without tenders; null when some are left."""
     stage = (

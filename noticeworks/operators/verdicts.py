@@ -183,6 +183,30 @@ def analysis_status(tenders: DataFrame, analyses: DataFrame, now: Column) -> Dat
     )
 
 
+def settled_analyses(
+    interests: DataFrame, analyses: DataFrame, providers: DataFrame, now: Column
+) -> DataFrame:
+    """What a provider sees of a tender's analysis: its state and result, and the verdict once it is completed.
+
+    Pending without an analysis, failed when its run is stale.
+    """
+    stale = is_stale(F.col("status"), F.col("updated_at"), now)
+    seen = analyses.select(
+        "expediente",
+        F.when(stale, "failed").otherwise(F.col("status")).alias("status"),
+        "extraction",
+        "citation_faithfulness",
+        "error_message",
+    )
+    judged = verdicts(analyses.filter(F.col("status") == "completed"), interests, providers)
+    pairs = interests.select("provider_id", "expediente")
+    return (
+        pairs.join(seen, "expediente", "left")
+        .withColumn("status", F.coalesce("status", F.lit("pending")))
+        .join(judged, ["provider_id", "expediente"], "left")
+    )
+
+
 def completed_analyses(analyses: DataFrame, tenders: DataFrame, limit: int) -> DataFrame:
     """The analyses with an extraction updated last, with their tender."""
     done = analyses.filter((F.col("status") == "completed") & F.col("extraction").isNotNull())

@@ -182,6 +182,48 @@ def analysis_status(spark, sf):
     )
 
 
+@query(
+    "settled_analyses",
+    f"""
+SELECT i.provider_id, i.expediente, CASE WHEN a.expediente IS NULL THEN 'pending'
+         WHEN a.status = 'in_progress' AND a.updated_at < {AS_OF_SQL} - INTERVAL 900 SECOND THEN 'failed' ELSE a.status END AS status,
+       coalesce(a.has_extraction, false) AS has_extraction, a.citation_faithfulness, a.error_message,
+       CASE WHEN v.expediente IS NULL THEN NULL WHEN len(blocking) > 0 THEN 'no_apto'
+            WHEN len(reserved) > 0 THEN 'apto_con_reservas' ELSE 'apto' END AS verdict,
+       CASE WHEN v.expediente IS NOT NULL THEN array_to_string(list_concat(blocking, reserved), ' | ') END AS reasons
+FROM interests_v i LEFT JOIN analyses_v a ON a.expediente = i.expediente
+LEFT JOIN ({_REASONS_SQL}) v ON v.expediente = i.expediente AND v.provider_id = i.provider_id""",
+)
+def settled_analyses(spark, sf):
+    seen = verdicts.settled_analyses(
+        views.interests(spark, sf), views.analyses(spark, sf), views.providers(spark, sf), views.as_of()
+    )
+    return seen.select(
+        "provider_id",
+        "expediente",
+        "status",
+        F.col("extraction").isNotNull().alias("has_extraction"),
+        "citation_faithfulness",
+        "error_message",
+        "verdict",
+        F.array_join(F.transform("reasons", lambda r: r["detail"]), " | ").alias("reasons"),
+    )
+
+
+@query(
+    "analysis_by_key",
+    """
+SELECT expediente, status, has_extraction, error_message FROM analyses_v
+WHERE expediente = (SELECT min(expediente) FROM analyses_v)""",
+)
+def analysis_by_key(spark, sf):
+    everything = views.analyses(spark, sf)
+    found = everything.filter(F.col("expediente") == everything.agg(F.min("expediente")).scalar())
+    return found.select(
+        "expediente", "status", F.col("extraction").isNotNull().alias("has_extraction"), "error_message"
+    )
+
+
 @query(
     "stale_runs",
     f"""

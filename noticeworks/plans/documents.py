@@ -9,7 +9,7 @@ from noticeworks.operators import citations, documents, encode, freetext
 from noticeworks.plans import views
 from noticeworks.plans.oracle_views import SPACE, outcome_sql, sql_text
 from noticeworks.plans.registry import query
-from noticeworks.sources.tables import read_table, spread
+from noticeworks.sources.tables import read_table
 
 
 @query(
@@ -26,7 +26,7 @@ def text_layer(spark, sf):
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf):
-    hashed = documents.content_hash(spread(read_table(spark, sf, "documents")), "text")
+    hashed = documents.content_hash(read_table(spark, sf, "documents"), "text")
     return hashed.select("doc_id", "content_hash")
 
 
@@ -44,15 +44,42 @@ def hash_reuse(spark, sf):
     return documents.hash_reuse(views.analyses(spark, sf))
 
 
+@query(
+    "reuse_copies",
+    """
+SELECT a.expediente, d.donor IS NOT NULL AS reused, coalesce(s.status, a.status) AS status,
+       CASE WHEN d.donor IS NULL THEN a.has_extraction ELSE s.has_extraction END AS has_extraction,
+       CASE WHEN d.donor IS NULL THEN a.citation_faithfulness ELSE s.citation_faithfulness END AS citation_faithfulness,
+       CASE WHEN d.donor IS NULL THEN a.error_message ELSE s.error_message END AS error_message
+FROM analyses_v a
+LEFT JOIN (SELECT b.expediente, min(o.expediente) AS donor FROM analyses_v b
+           JOIN analyses_v o ON o.pdf_hash = b.pdf_hash AND o.expediente <> b.expediente
+           WHERE o.status IN ('completed', 'not_analyzable') AND b.status NOT IN ('completed', 'not_analyzable')
+           GROUP BY 1) d ON a.expediente = d.expediente
+LEFT JOIN analyses_v s ON s.expediente = d.donor""",
+)
+def reuse_copies(spark, sf):
+    return documents.copy_from_donor(views.analyses(spark, sf)).select(
+        "expediente",
+        "reused",
+        "status",
+        F.col("extraction").isNotNull().alias("has_extraction"),
+        "citation_faithfulness",
+        "error_message",
+    )
+
+
 @query(
     "doc_prompt",
     """
-SELECT doc_id, 0 AS part, '<PLIEGO>' || chr(10)
-  || string_agg('===== PÁGINA ' || page || ' =====' || chr(10)
-       || replace(replace(text, '</PLIEGO>', '[marca eliminada]'), '<PLIEGO>', '[marca eliminada]'),
-       chr(10) || chr(10) ORDER BY page)
-  || chr(10) || '</PLIEGO>' AS prompt
-FROM all_pages_v GROUP BY doc_id""",
+SELECT doc_id, part, CASE WHEN part = min(part) OVER d THEN '<PLIEGO>' || chr(10) ELSE '' END || body
+  || CASE WHEN part = max(part) OVER d THEN chr(10) || '</PLIEGO>' ELSE chr(10) || chr(10) END AS prompt
+FROM (SELECT doc_id, (page - 1) // 4 AS part,
+             string_agg('===== PÁGINA ' || page || ' =====' || chr(10)
+               || replace(replace(text, '</PLIEGO>', '[marca eliminada]'), '<PLIEGO>', '[marca eliminada]'),
+               chr(10) || chr(10) ORDER BY page) AS body
+      FROM all_pages_v GROUP BY ALL)
+WINDOW d AS (PARTITION BY doc_id)""",
 )
 def doc_prompt(spark, sf):
     return documents.doc_prompt(views.all_pages(spark, sf))
@@ -64,16 +91,20 @@ _HEADER_SQL = r"(?i)^cl[aá]usula\s+(\d+(?:\.\d+)*)\s*[.\-:]?\s*(.+)$"
 @query(
     "clause_chunks",
     f"""
-SELECT doc_id, clause_index, 0 AS part,
-       regexp_extract(arg_min(line, (page, i)), '{_HEADER_SQL}', 1) AS number,
-       regexp_replace(regexp_extract(arg_min(line, (page, i)), '{_HEADER_SQL}', 2), '^{SPACE}+|{SPACE}+$', '', 'g') AS title,
-       arg_min(page, (page, i)) AS page,
-       regexp_replace(string_agg(line, chr(10) ORDER BY page, i), '{SPACE}+$', '') AS text
+SELECT doc_id, clause_index, part, regexp_extract(any_value(header), '{_HEADER_SQL}', 1) AS number,
+       regexp_replace(regexp_extract(any_value(header), '{_HEADER_SQL}', 2), '^{SPACE}+|{SPACE}+$', '', 'g') AS title,
+       any_value(start) AS page,
+       CASE WHEN part = any_value(last_part) THEN regexp_replace(string_agg(line, chr(10) ORDER BY page, i), '{SPACE}+$', '')
+            ELSE string_agg(line, chr(10) ORDER BY page, i) || chr(10) END AS text
+FROM (SELECT *, max(part) OVER (PARTITION BY doc_id, clause_index) AS last_part
+FROM (SELECT *, (page - start) // 4 AS part
+FROM (SELECT *, first_value(line) OVER c AS header, first_value(page) OVER c AS start
 FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEADER_SQL}') THEN 1 ELSE 0 END)
                 OVER (PARTITION BY doc_id ORDER BY page, i) AS clause_index
       FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line,
                    unnest(range(0, len(string_split(text, chr(10))))) AS i FROM clause_pages_v))
-WHERE clause_index > 0 GROUP BY doc_id, clause_index""",
+WHERE clause_index > 0 WINDOW c AS (PARTITION BY doc_id, clause_index ORDER BY page, i))))
+GROUP BY doc_id, clause_index, part""",
 )
 def clause_chunks(spark, sf):
     return documents.clause_chunks(views.clause_pages(spark, sf))
@@ -111,13 +142,44 @@ FROM documents""",
 )
 def mask_long_text(spark, sf):
     lines = text.mask_long_all(F.split("text", "\n"))
-    return spread(read_table(spark, sf, "documents")).select(
+    return read_table(spark, sf, "documents").select(
         "doc_id",
         text.mask_long(F.col("text")).alias("masked"),
         F.array_join(lines, "\n").alias("masked_lines"),
     )
 
 
+_CUT = "CASE WHEN length({0}) > 500 THEN substring({0}, 1, 500) || '... [' || length({0}) || ' caracteres, truncado]' ELSE {0} END"
+
+
+@query(
+    "mask_nested",
+    f"""
+SELECT doc_id, {_CUT.format('text')} AS body, lang, {_CUT.format("(lang || text)")} AS noted, n_chars,
+       array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_CUT.format('x')}), chr(10)) AS lines
+FROM documents""",
+)
+def mask_nested(spark, sf):
+    """The same rule anywhere in a payload: text in structs, lists and maps is cut, all else stays."""
+    payload = F.struct(
+        F.struct("text", "lang", "n_chars").alias("input"),
+        F.split("text", "\n").alias("lines"),
+        F.create_map(F.lit("note"), F.concat("lang", "text")).alias("notes"),
+    )
+    rows = read_table(spark, sf, "documents").select("doc_id", payload.alias("payload"))
+    masked = rows.select(
+        "doc_id", text.mask_long_deep(F.col("payload"), rows.schema["payload"].dataType).alias("p")
+    )
+    return masked.select(
+        "doc_id",
+        F.col("p.input.text").alias("body"),
+        F.col("p.input.lang").alias("lang"),
+        F.col("p.notes")["note"].alias("noted"),
+        F.col("p.input.n_chars").alias("n_chars"),
+        F.array_join("p.lines", "\n").alias("lines"),
+    )
+
+
 @query(
     "parse_list_field",
     f"""
@@ -128,7 +190,7 @@ FROM documents""",
 )
 def parse_list_field(spark, sf):
     typed = F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit(",5 "))
-    return spread(read_table(spark, sf, "documents")).select(
+    return read_table(spark, sf, "documents").select(
         "doc_id",
         F.array_join(text.split_list(F.col("text")), "|").alias("entries"),
         text.parse_amount(typed).cast("double").alias("amount"),
@@ -260,11 +322,26 @@ def claim_summary(spark, sf):
     return freetext.claim_summary(_claim_scores(spark, sf))
 
 
-@query("backfill_vectors")
+# The place and sign of a word come from the first three digits of its MD5.
+_DIGIT = "(strpos('0123456789abcdef', substr(md5(w), {}, 1)) - 1)"
+_WORDS = f"list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda w: w <> '')"
+
+
+@query(
+    "backfill_vectors",
+    f"""
+SELECT doc_id, list_transform(summed, lambda x: round(CAST(CAST(x / greatest(length, 1e-9) AS FLOAT) AS DOUBLE), 6)) AS embedding
+FROM (SELECT *, sqrt(list_sum(list_transform(summed, lambda x: x * x))) AS length
+FROM (SELECT doc_id, list_transform(range(0, 64), lambda d:
+        coalesce(list_sum(list_transform(list_filter(words, lambda w: w[1] = d), lambda w: w[2])), 0)) AS summed
+FROM (SELECT doc_id, list_transform({_WORDS}, lambda w: [{_DIGIT.format(1)} * 4 + {_DIGIT.format(2)} // 4,
+        CASE WHEN {_DIGIT.format(3)} % 2 = 1 THEN 1 ELSE -1 END]) AS words FROM documents)))""",
+)
 def backfill_vectors(spark, sf):
     """Vectors for every document that has none yet; here, for all of them."""
-    rows = spread(read_table(spark, sf, "documents")).select(
+    rows = read_table(spark, sf, "documents").select(
         "doc_id", "text", F.lit(None).cast("array<float>").alias("embedding")
     )
     filled = encode.backfill_vectors(rows, "doc_id", "text", encode.hashing_encoder())
-    return filled.select("doc_id", "embedding")
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return filled.select("doc_id", rounded.alias("embedding"))

@@ -132,6 +132,34 @@ def funnel_counts(spark, sf):
     )
 
 
+@query(
+    "match_answer",
+    f"""
+SELECT provider_id, after_location AS total, least(20, after_location) AS returned, CAST(20 AS BIGINT) AS "limit",
+       total AS funnel_total, after_status AS funnel_after_status, after_code AS funnel_after_code,
+       after_budget AS funnel_after_budget, after_location AS funnel_after_location FROM ({_COUNTS_SQL})""",
+)
+def match_answer(spark, sf):
+    counts = funnel.funnel_counts(
+        views.tenders(spark, sf), views.providers(spark, sf), views.as_of()
+    )
+    return funnel.match_answer(counts, limit=TOP)
+
+
+@query(
+    "provider_by_key",
+    """
+SELECT provider_id, description, array_to_string(certifications, ',') AS certifications
+FROM providers_v WHERE provider_id = (SELECT min(provider_id) FROM providers_v)""",
+)
+def provider_by_key(spark, sf):
+    everyone = views.providers(spark, sf)
+    first = everyone.agg(F.min("provider_id")).scalar()
+    return everyone.filter(F.col("provider_id") == first).select(
+        "provider_id", "description", F.array_join("certifications", ",").alias("certifications")
+    )
+
+
 @query(
     "funnel_empty_stage",
     f"""
@@ -262,6 +290,17 @@ def match_origin(spark, sf):
     return ranking.match_origin(_fused(spark, sf)).select("provider_id", "expediente", "origin")
 
 
+@query(
+    "origin_shares",
+    """
+SELECT origin, count(*) AS matches, round(count(*) / sum(count(*)) OVER (), 9) AS share
+FROM (SELECT CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both'
+       WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'vector' END AS origin FROM matches_v) GROUP BY origin""",
+)
+def origin_shares(spark, sf):
+    return ranking.origin_shares(_fused(spark, sf))
+
+
 @query(
     "match_sorts",
     f"""

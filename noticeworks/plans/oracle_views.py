@@ -235,6 +235,7 @@ SELECT o_orderkey AS order_key, CAST(o_orderkey AS VARCHAR) AS expediente,
             WHEN 3 THEN 'pending' ELSE 'completed' END AS status,
        (o_orderkey % 7 >= 4 AND o_orderkey % 11 <> 4) AS has_extraction,
        CASE WHEN o_orderkey % 7 >= 4 THEN (o_orderkey % 10) / 10.0e0 END AS citation_faithfulness,
+       CASE o_orderkey % 7 WHEN 1 THEN 'run stopped' WHEN 2 THEN 'no text layer' END AS error_message,
        o_orderdate AS created_at, o_orderdate + to_seconds(CAST(o_orderkey % 1800 AS INT)) AS updated_at,
        o_orderpriority AS quote, o_orderkey % 4 + 1 AS cite_page,
        CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS turnover,

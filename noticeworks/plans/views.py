@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeworks import schemas
 from noticeworks.functions import codes, text
-from noticeworks.sources.tables import read_table, spread
+from noticeworks.sources.tables import read_table
 
 AS_OF = "1998-06-01 00:20:00"
 ROLE_REQUIRED = "required_to_bid"
@@ -49,7 +49,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 def notices_coded(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order, with the raw codes a feed entry carries."""
     lots = (
-        spread(read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"))
+        read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
         .join(parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey")
         # Both sets are bounded by closed vocabularies, whatever the number of lines.
@@ -179,7 +179,7 @@ def interests(spark: SparkSession, sf: str) -> DataFrame:
     """Provider and tender pairs with a judgement, from the order lines."""
     flag = F.min("l_returnflag")
     return (
-        spread(read_table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag"))
+        read_table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag")
         .groupBy("l_suppkey", "l_orderkey")
         .agg(
             F.when(flag == "A", "relevant")
@@ -208,7 +208,7 @@ def raw_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "conversations")).select(
+    return read_table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page"),
         "text",
@@ -218,7 +218,7 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
 def all_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as paged documents, and every document as one page."""
     paged = doc_pages(spark, sf).withColumn("doc_id", F.concat(F.lit("c"), "doc_id"))
-    whole = spread(read_table(spark, sf, "documents")).select(
+    whole = read_table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.lit(1).alias("page"),
         "text",
@@ -349,7 +349,7 @@ def cert_names(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda k: F.element_at(names, (k % size + 1).cast("int"))
     joiner = key_case(key, 3, {0: F.lit(" y ")}, F.lit(", "))
     second = F.concat(joiner, pick(F.floor(key / size)))
-    return spread(read_table(spark, sf, "orders")).select(
+    return read_table(spark, sf, "orders").select(
         key.cast("string").alias("expediente"),
         F.concat(pick(key), F.when(key % 2 == 0, second).otherwise("")).alias("name"),
     )
@@ -471,7 +471,7 @@ def analyses(spark: SparkSession, sf: str) -> DataFrame:
     extraction = extraction_columns(key, F.col("o_totalprice"), F.col("o_orderpriority"))
     done = status == "completed"
     return (
-        spread(read_table(spark, sf, "orders"))
+        read_table(spark, sf, "orders")
         .filter(F.col("o_orderstatus").isin("O", "F"))
         .select(
             key.alias("order_key"),
@@ -480,6 +480,9 @@ def analyses(spark: SparkSession, sf: str) -> DataFrame:
             status.alias("status"),
             F.when(done & (key % 11 != 4), extraction).alias("extraction"),
             F.when(done, (key % 10) / 10.0).alias("citation_faithfulness"),
+            key_case(
+                key, 7, {1: F.lit("run stopped"), 2: F.lit("no text layer")}, F.lit(None).cast("string")
+            ).alias("error_message"),
             created.alias("created_at"),
             (
                 created

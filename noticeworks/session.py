@@ -15,15 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Rows here are cheap to move and costly to score, so small partitions stay apart.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Archives are large rows: a batch for Python is cut by bytes, not only by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
@@ -48,9 +43,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on to an existing session."""
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+    """Readies an existing session for the queries: this package on the executors, times in UTC.
+
+    The time zone decides results; all other settings are the caller's.
+    """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     ship_package(spark)
     return spark
 
@@ -67,6 +65,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for key, value in RUNTIME_CONF.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)

@@ -41,17 +41,3 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     reader = spark.read.schema(TABLES[name])
     return reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
-
-SMALL_TABLE_BYTES = 64 * 1024 * 1024
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Lets every core work on a table so small that one or two tasks would read all of it.
-
-    The size is the optimizer's estimate. A larger table already comes in enough
-    splits and is returned as it is, without a shuffle.
-    """
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) > SMALL_TABLE_BYTES:
-        return rows
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
