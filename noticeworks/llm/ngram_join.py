@@ -18,7 +18,8 @@ one more), which is exact whatever the sizes of the lists.
 Lists of documents with one signature are resolved without forming all their pairs: every
 document is compared with one leader, links make components, and only documents that lie
 in different components are compared further. All comparisons are exact, on the sets of
-64-bit shingle hashes. Copies within a task are recognised before anything is shuffled.
+64-bit shingle hashes; parities of these sets, a few dozen bytes, tell most pairs apart
+before the sets are moved, and equal sets are one from the start. Copies within a task are recognised before anything is shuffled.
 
 Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage
 return, A-Z lower-cased. Defined cases: a null, empty or blank text has no shingles and is
@@ -46,6 +47,9 @@ WIDTH = 5
 PERCENT = 80
 #: Documents with one signature beyond which it is left to other segments.
 FREQUENT = 64
+#: Lists up to this size are compared through a join, longer ones in blocks of `BLOCK_DOCUMENTS`.
+SHORT_LIST = 16
+BLOCK_DOCUMENTS = 512
 #: Leaders that every document of a list is compared with before what is left is compared in full.
 ROUNDS = 2
 
@@ -300,19 +304,47 @@ def short_of_segments(found: DataFrame) -> DataFrame:
     return sums.where(F.col("left_out") > slack).select("doc_id", "scheme", (F.col("left_out") > enough).alias("hard"), "dear")
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether an even or odd number of shingles falls into each of a power of two of places, as bits.
+
+    A shingle that one of two sets lacks turns one bit over, so two sets differ in at least
+    as many shingles as their bits differ.
+    """
+    places = 1 << max(6, int(len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing_bits(one: bytes, other: bytes) -> int:
+    """Bits that differ, after the longer one is folded to the length of the shorter."""
+    if len(one) < len(other):
+        one, other = other, one
+    while len(one) > len(other):
+        half = len(one) // 2
+        one = (int.from_bytes(one[:half], "big") ^ int.from_bytes(one[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(one, "big") ^ int.from_bytes(other, "big")).bit_count()
+
+
 def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and tokens (hashes of the shingles) of the documents named in `ids`."""
+    """doc_id, tokens (hashes of the shingles), size, mark (a 128-bit hash of the set) and bits (its
+    parities) of the documents named in `ids`."""
 
     def run(batches):
         for block in blocks(batches, "text"):
-            rows = [shingles(text).view(np.int64) for text in texts(block.column(1))]
+            rows = [shingles(text) for text in texts(block.column(1))]
             yield pa.record_batch(
-                [block.column(0), lists(np.concatenate([np.zeros(0, np.int64), *rows]), list(map(len, rows)))],
-                names=["doc_id", "tokens"],
+                [
+                    block.column(0),
+                    lists(np.concatenate([np.zeros(0, np.int64), *[row.view(np.int64) for row in rows]]), list(map(len, rows))),
+                    pa.array(list(map(len, rows)), pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(row.tobytes()) for row in rows], pa.binary()),
+                    pa.array([parities(row) for row in rows], pa.binary()),
+                ],
+                names=["doc_id", "tokens", "size", "mark", "bits"],
             )
 
     chosen = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id bigint, tokens array<bigint>")
+    return chosen.mapInArrow(run, "doc_id bigint, tokens array<bigint>, size bigint, mark binary, bits binary")
 
 
 def deletion_rows(sets: DataFrame, short: DataFrame) -> DataFrame:
@@ -361,6 +393,90 @@ def distinct_lists(rows: DataFrame) -> DataFrame:
     return rows.join(kept, "sig").select(F.col("sig").alias("list"), "doc_id", "size")
 
 
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose parities allow for a link: narrow rows, and no linked pair goes."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+            bits = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            kept = [differing_bits(*two) <= differing(*both) for two, both in zip(bits, sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _words(bits: list[bytes], length: int) -> np.ndarray:
+    """Parities of equal length as rows of 64-bit words, folded to `length` bytes."""
+    rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+    while rows.shape[1] * 8 > length:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+def near_in_block(table: pa.Table) -> pa.Table:
+    """Near pairs of different components among the documents of one block or between two.
+
+    Parities are compared block against block; only near pairs become rows, each in the
+    first list that its documents have in common.
+    """
+    table = table.combine_chunks()
+    ids, sizes, component, side, first, second = (
+        table.column(name).to_numpy() for name in ("doc_id", "size", "component", "block", "first", "second")
+    )
+    bits, member_of, here = table.column("bits").to_pylist(), table.column("lists").to_pylist(), table.column("list")[0].as_py()
+    lengths = np.array([len(one) for one in bits])
+    out = []
+    for one in np.unique(lengths):
+        for other in np.unique(lengths):
+            rows, columns = np.flatnonzero(lengths == one), np.flatnonzero(lengths == other)
+            length = int(min(one, other))
+            a, b = _words([bits[i] for i in rows], length), _words([bits[i] for i in columns], length)
+            step = max(1, (1 << 22) // (b.size + 1))
+            for start in range(0, len(rows), step):
+                part = rows[start : start + step]
+                apart = np.bitwise_count(a[start : start + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+                total = sizes[part][:, None] + sizes[columns][None, :]
+                lower = ids[part][:, None] < ids[columns][None, :]
+                across = component[part][:, None] != component[columns][None, :]
+                if first[0] != second[0]:
+                    across &= side[part][:, None] != side[columns][None, :]
+                met = (apart <= total * (100 - PERCENT) // (100 + PERCENT)) & lower & across
+                met &= 100 * np.minimum(sizes[part][:, None], sizes[columns][None, :]) >= PERCENT * np.maximum(
+                    sizes[part][:, None], sizes[columns][None, :]
+                )
+                for i, j in np.argwhere(met):
+                    i, j = part[i], columns[j]
+                    if min(set(member_of[i]).intersection(member_of[j])) == here:
+                        out.append((int(ids[i]), int(ids[j])))
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def near_in_lists(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Near pairs of different components within long lists, by blocks of the lists."""
+    blocks_of = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCUMENTS).cast("int").alias("blocks"))
+    lists_of = placed.groupBy("doc_id").agg(F.collect_set("list").alias("lists"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.col("blocks")).cast("int")
+    facts = lists_of.join(sets.select("doc_id", "bits"), "doc_id").dropDuplicates(["doc_id"])
+    rows = placed.join(blocks_of, "list").withColumn("block", block).join(facts, "doc_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", other).select(
+        "list",
+        "doc_id",
+        "size",
+        "component",
+        "bits",
+        "lists",
+        "block",
+        F.least("block", "other").alias("first"),
+        F.greatest("block", "other").alias("second"),
+    )
+    return dealt.groupBy("list", "first", "second").applyInArrow(near_in_block, "a bigint, b bigint")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough, with exact counts."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("one"))
@@ -393,6 +509,7 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         placed = stored(placed.join(apart, "list"), f"apart-{turn}")
         if placed.isEmpty():
             break
+        short = placed
         if turn < ROUNDS:
             first = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
             order = F.struct(first.alias("order"), "doc_id", "size", "component")
@@ -400,12 +517,13 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         else:
             # Every pair of different components has a member outside the largest of them.
             counts = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-            largest = counts.groupBy("list").agg(F.max(F.struct("n", "component")).alias("largest"))
-            outside = placed.join(largest, "list").where(F.col("component") != F.col("largest.component"))
+            largest = counts.groupBy("list").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"))
+            short = placed.join(largest.where(F.col("all") <= SHORT_LIST).select("list"), "list", "left_semi")
+            outside = short.join(largest, "list").where(F.col("component") != F.col("largest.component"))
             leaders = outside.select("list", F.struct("doc_id", "size", "component").alias("leader"))
         other = F.col("leader.doc_id")
         pairs = (
-            placed.join(leaders, "list")
+            short.join(leaders, "list")
             .where((F.col("component") != F.col("leader.component")) & near_in_size("size", "leader.size"))
             .select(F.least("doc_id", other).alias("a"), F.greatest("doc_id", other).alias("b"))
             .distinct()
@@ -414,7 +532,13 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"pairs-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(linked(pairs, sets), f"links-{turn}")
+        likely = near(pairs, sets)
+        if turn == ROUNDS:
+            long = placed.join(largest.where(F.col("all") > SHORT_LIST).select("list"), "list", "left_semi")
+            likely = likely.unionByName(near_in_lists(long, sets))
+        likely = stored(likely.distinct(), f"near-{turn}")
+        named = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        new = stored(linked(likely, sets.join(named, "doc_id", "left_semi")), f"links-{turn}")
         if not new.isEmpty():
             # What is known already hangs under its component; only new links change that.
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -441,12 +565,24 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     sets = stored(sets_of(documents, wanted), "ngram-sets")
     deleted = distinct_lists(deletion_rows(sets, short))
     prefixes = distinct_lists(prefix_rows(sets.join(hard, "doc_id")))
-    members = stored(
+    # Equal sets are one from here on: their first document stands for all.
+    first = sets.groupBy("size", "mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    equal = stored(
+        sets.select("doc_id", "size", "mark").join(first.where("n > 1").select("size", "mark", "first"), ["size", "mark"]).select(
+            "doc_id", "first"
+        ),
+        "ngram-equal",
+    )
+    members = (
         cheap.withColumn("by", F.lit(0)).unionByName(deleted.withColumn("by", F.lit(1))).unionByName(prefixes.withColumn("by", F.lit(2)))
-        .select(F.xxhash64("by", "list").alias("list"), "doc_id", "size"),
-        "ngram-members",
+        .select(F.xxhash64("by", "list").alias("list"), "doc_id", "size")
+    )
+    members = members.join(equal.distinct(), "doc_id", "left").select(
+        F.col("list").alias("sig"), F.coalesce("first", "doc_id").alias("doc_id"), "size"
     )
+    members = stored(distinct_lists(members), "ngram-members")
     copies = found.where("kind = 'copy'").select(F.col("sig").alias("a"), F.col("doc_id").alias("b"))
+    copies = copies.unionByName(equal.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     found_components = resolve(members, sets, copies)
     sizes = found.where("kind = 'size'").select("doc_id", (-1 - F.col("info")).alias("n_shingles"))
     return sizes.join(found_components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(

@@ -81,8 +81,9 @@ def corpus(seed, groups=60):
     return [(i * 3 % 1009, " ".join(words).upper() if i % 7 == 0 else "\t".join(words)) for i, words in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 64), (2, 2), (3, 6)])
-def test_components_match_all_pairs(spark, seed, frequent):
+@pytest.mark.parametrize(("seed", "frequent", "block"), [(1, 64, 512), (2, 2, 8), (3, 6, 512)])
+def test_components_match_all_pairs(spark, monkeypatch, seed, frequent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCUMENTS", block)
     rows = corpus(seed)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = ngram_join.near_duplicates(frame, frequent).collect()
@@ -128,3 +129,14 @@ def test_long_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950), (7000, 7000)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "chain").collect())
     assert got == {i: 0 for i in range(201)} | {1000: 900, 900: 900, 950: 900, 7000: 7000}
+
+
+def test_parities_never_differ_in_more_places_than_the_sets():
+    dice = np.random.default_rng(8)
+    for _ in range(200):
+        one = np.unique(dice.integers(0, 1 << 62, dice.integers(1, 400)).astype(np.uint64))
+        kept = one[dice.random(len(one)) < dice.random()]
+        other = np.unique(np.append(kept, dice.integers(0, 1 << 62, dice.integers(1, 200)).astype(np.uint64)))
+        bits = ngram_join.differing_bits(ngram_join.parities(one), ngram_join.parities(other))
+        assert bits <= len(np.setxor1d(one, other))
+        assert ngram_join.differing_bits(ngram_join.parities(one), ngram_join.parities(one)) == 0
