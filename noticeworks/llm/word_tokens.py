@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from noticeworks.llm.common import blocks, lists, texts
 
 #: Parts that a worker remembers; beyond this it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 #: ASCII without control characters, and the letters of two Latin blocks.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ſ]+")
