@@ -68,15 +68,6 @@ def _on_first_shared_code() -> Column:
     return (F.col("code") == F.col("p_code")) & (shared == F.col("code"))
 
 
-def code_pairs(tenders: DataFrame, providers: DataFrame, as_of: Column) -> DataFrame:
-    """Biddable tenders with every provider that shares a code, each pair once."""
-    return (
-        _open_by_code(tenders, as_of)
-        .join(_profiles_by_code(providers), _on_first_shared_code())
-        .drop("code", "p_code")
-    )
-
-
 def fits_budget() -> Column:
     return budget_fits(F.col("budget_with_vat"), F.col("p_min_budget"), F.col("p_max_budget"))
 
@@ -125,19 +116,30 @@ def funnel_counts(tenders: DataFrame, providers: DataFrame, as_of: Column) -> Da
     The first two do not depend on the provider and are scalar subqueries; the
     other three come out of one aggregate that combines before its shuffle.
     """
-    narrow_tenders = tenders.select(
-        "expediente", "cpv_codes", "budget_with_vat", "location", "status", "submission_deadline"
+    # Tenders that agree in all that the stages look at are one row with a count, so a very
+    # common code brings as many rows to the join as there are places and budgets.
+    alike = (
+        tenders.filter(still_biddable(as_of))
+        .select(
+            F.sort_array(codes.normalize_codes(F.col("cpv_codes"))).alias("codes"),
+            "budget_with_vat",
+            "location",
+        )
+        .groupBy("codes", "budget_with_vat", "location")
+        .agg(F.count("*").alias("tenders"))
+        .withColumn("code", F.explode("codes"))
     )
     narrow_providers = providers.select(
         "provider_id", "cpv_codes", "min_budget", "max_budget", "locations"
     )
+    passing = lambda test: F.sum(F.when(test, F.col("tenders")).otherwise(0))
     per_provider = (
-        code_pairs(narrow_tenders, narrow_providers, as_of)
+        alike.join(_profiles_by_code(narrow_providers), _on_first_shared_code())
         .groupBy("provider_id")
         .agg(
-            F.count("*").alias("after_code"),
-            F.count_if(fits_budget()).alias("after_budget"),
-            F.count_if(fits_budget() & fits_location()).alias("after_location"),
+            F.sum("tenders").alias("after_code"),
+            passing(fits_budget()).alias("after_budget"),
+            passing(fits_budget() & fits_location()).alias("after_location"),
         )
     )
     total = tenders.agg(F.count("*")).scalar()
