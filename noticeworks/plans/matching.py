@@ -354,8 +354,11 @@ GROUP BY 1, 2, 3""",
 )
 def recall_at_k(spark, sf):
     judged = views.interests(spark, sf).filter(F.col("label") != "excluded")
+    # Only judged tenders get terms and vectors.
+    named = judged.select("expediente").distinct()
+    titles = views.tenders(spark, sf).select("expediente", "title").join(named, "expediente", "left_semi")
     t = ranking.unit_vectors(
-        ranking.with_title_terms(views.tenders(spark, sf).select("expediente", "title")).join(
+        ranking.with_title_terms(titles).join(
             views.tender_vectors(spark, sf), "expediente", "left"
         ),
         DIMENSION,
