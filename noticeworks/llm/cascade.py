@@ -159,7 +159,8 @@ def measure(documents: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[
     sample = documents.select("text")
     if share < 1.0:
         sample = sample.sample(fraction=share, seed=17)
-    return [row.name for row in sample.limit(rows).coalesce(1).mapInArrow(run, "name string").collect()]
+    found = [row.name for row in sample.limit(rows).coalesce(1).mapInArrow(run, "name string").collect()]
+    return found or [rule.name for rule in rules]
 
 
 def apply_rules(documents: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:

@@ -460,8 +460,8 @@ def near_in_lists(placed: DataFrame, sets: DataFrame) -> DataFrame:
     blocks_of = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCUMENTS).cast("int").alias("blocks"))
     lists_of = placed.groupBy("doc_id").agg(F.collect_set("list").alias("lists"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.col("blocks")).cast("int")
-    facts = lists_of.join(sets.select("doc_id", "bits"), "doc_id").dropDuplicates(["doc_id"])
-    rows = placed.join(blocks_of, "list").withColumn("block", block).join(facts, "doc_id")
+    facts = lists_of.join(sets.select("doc_id", "size", "bits"), "doc_id")
+    rows = placed.drop("size").join(blocks_of, "list").withColumn("block", block).join(facts, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).select(
         "list",
