@@ -24,8 +24,9 @@ before the sets are moved, and equal sets are one from the start. Copies within
 Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage
 return, A-Z lower-cased. Defined cases: a null, empty or blank text has no shingles and is
 linked with nothing; a text of fewer than five words is one shingle; rows with a null
-doc_id get a null component; rows with equal doc_id are one node and keep their own sizes;
-other columns are ignored; an empty table gives an empty result.
+doc_id get a null component; rows with equal doc_id are one node, linked by any of their
+texts, and keep their own sizes; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -347,6 +348,20 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id bigint, tokens array<bigint>, size bigint, mark binary, bits binary")
 
 
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """The sets with a number each (uid), once for each doc_id and set: a row may stand repeatedly.
+
+    Without repeated rows, this costs an aggregation of narrow rows.
+    """
+    sets = stored(sets.withColumn("uid", F.monotonically_increasing_id()), "ngram-sets")
+    copies = sets.groupBy("doc_id", "mark").agg(F.min("uid").alias("kept"), F.count(F.lit(1)).alias("n"))
+    again = stored(copies.where("n > 1").select("doc_id", "mark", "kept"), "ngram-sets-again")
+    if again.isEmpty():
+        return sets
+    once = sets.join(again, ["doc_id", "mark"], "left").where("kept is null or kept = uid").select(*sets.columns)
+    return stored(once, "ngram-sets-once")
+
+
 def deletion_rows(sets: DataFrame, short: DataFrame) -> DataFrame:
     """(sig, doc_id, size) of the one-deletion neighbourhoods of documents short of segments."""
     rows = sets.join(short.where("not hard").select("doc_id", "scheme", "dear"), "doc_id")
@@ -368,9 +383,10 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
 
     Only shingles that some set marked `hard` has in its prefix: other pairs meet elsewhere.
     """
-    rows = sets.select("doc_id", "hard", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("sig"))
+    rows = sets.select("uid", "doc_id", "hard", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("sig"))
     counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
-    rarest = Window.partitionBy("doc_id").orderBy("documents", "sig")
+    # A document with several texts has a prefix for each.
+    rarest = Window.partitionBy("uid").orderBy("documents", "sig")
     # A shingle of one document joins nothing, but it takes a place in the prefix.
     ranked = rows.join(counts, "sig", "left").withColumn("documents", F.coalesce("documents", F.lit(1)))
     reach = F.expr(f"size - (size * {PERCENT} + 99) div 100 + 1")
@@ -383,11 +399,11 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
 
 
 def distinct_lists(rows: DataFrame) -> DataFrame:
-    """(list, doc_id, size) from (sig, doc_id, size): of signatures with the same documents one is kept, single ones go."""
+    """(list, doc_id, size) from (sig, doc_id, size): of signatures with the same rows one is kept, single ones go."""
     rows = rows.distinct()
-    number = F.xxhash64("doc_id", F.lit(21)).cast("decimal(38,0)")
+    number = F.xxhash64("doc_id", "size", F.lit(21)).cast("decimal(38,0)")
     marks = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(number).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(22))).alias("xor")
+        F.count(F.lit(1)).alias("n"), F.sum(number).alias("sum"), F.bit_xor(F.xxhash64("doc_id", "size", F.lit(22))).alias("xor")
     )
     kept = marks.where("n > 1").groupBy("n", "sum", "xor").agg(F.min("sig").alias("sig")).select("sig")
     return rows.join(kept, "sig").select(F.col("sig").alias("list"), "doc_id", "size")
@@ -553,8 +569,9 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     """
     found = stored(grouped_rows(index_rows(documents), frequent + 1), "ngram-index")
     short = stored(short_of_segments(found), "ngram-short")
-    runs = found.where("kind = 'list'").groupBy(F.xxhash64("docs").alias("a"), F.hash("docs").alias("b"), "docs").agg(
-        F.min("sig").alias("list"), F.first("sizes").alias("sizes")
+    # The sizes belong to the key: a document with several texts has several.
+    runs = found.where("kind = 'list'").groupBy(F.xxhash64("docs").alias("a"), F.hash("docs").alias("b"), "docs", "sizes").agg(
+        F.min("sig").alias("list")
     )
     cheap = runs.select("list", F.explode(F.arrays_zip("docs", "sizes")).alias("one")).select(
         "list", F.col("one.docs").alias("doc_id"), F.col("one.sizes").alias("size")
@@ -562,10 +579,10 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     cheap = stored(cheap, "ngram-lists")
     hard = short.groupBy("doc_id").agg(F.max("hard").alias("hard"))
     wanted = cheap.select("doc_id").unionByName(hard.select("doc_id")).distinct()
-    sets = stored(sets_of(documents, wanted), "ngram-sets")
+    sets = distinct_sets(sets_of(documents, wanted))
     deleted = distinct_lists(deletion_rows(sets, short))
     prefixes = distinct_lists(prefix_rows(sets.join(hard, "doc_id")))
-    # Equal sets are one from here on: their first document stands for all.
+    # Equal sets are one from here on: their first document stands for all that have no other set.
     first = sets.groupBy("size", "mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     equal = stored(
         sets.select("doc_id", "size", "mark").join(first.where("n > 1").select("size", "mark", "first"), ["size", "mark"]).select(
@@ -577,7 +594,8 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
         cheap.withColumn("by", F.lit(0)).unionByName(deleted.withColumn("by", F.lit(1))).unionByName(prefixes.withColumn("by", F.lit(2)))
         .select(F.xxhash64("by", "list").alias("list"), "doc_id", "size")
     )
-    members = members.join(equal.distinct(), "doc_id", "left").select(
+    several = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = members.join(equal.join(several, "doc_id", "left_anti"), "doc_id", "left").select(
         F.col("list").alias("sig"), F.coalesce("first", "doc_id").alias("doc_id"), "size"
     )
     members = stored(distinct_lists(members), "ngram-members")
@@ -590,12 +608,29 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     )
 
 
+def with_node(documents: DataFrame) -> DataFrame:
+    """Adds `_node`: the doc_id, or where several rows have it, a 64-bit hash of doc_id and text."""
+    several = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null")
+    several = stored(several, "ngram-several")
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
+    node = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", text))
+    return documents.join(several, "doc_id", "left").select(*documents.columns, node.alias("_node"))
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id, with all columns.
 
-    Rows with a null doc_id belong to no group and stay; of rows with equal doc_id one stays.
+    Rows with a null doc_id belong to no group and stay. Rows with equal doc_id are grouped
+    each by its text: one of them goes only if another of its group stays.
     """
-    ids = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = documents.join(ids, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1").select(*documents.columns)
+    rows = with_node(documents.where("doc_id is not null"))
+    groups = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_node"), F.col("component_id").alias("_group")
+    )
+    owners = rows.select("_node", "doc_id").distinct()
+    smallest = groups.distinct().join(owners, "_node").groupBy("_group").agg(F.min(F.struct("doc_id", "_node")).alias("_kept"))
+    row = F.row_number().over(Window.partitionBy("_node").orderBy("text"))
+    kept = rows.join(smallest.select(F.col("_kept._node").alias("_node")), "_node", "left_semi")
+    first = kept.withColumn("_row", row).where("_row = 1").select(*documents.columns)
     return first.unionByName(documents.where("doc_id is null"))

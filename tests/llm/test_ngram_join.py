@@ -140,3 +140,55 @@ def test_parities_never_differ_in_more_places_than_the_sets():
         bits = ngram_join.differing_bits(ngram_join.parities(one), ngram_join.parities(other))
         assert bits <= len(np.setxor1d(one, other))
         assert ngram_join.differing_bits(ngram_join.parities(one), ngram_join.parities(one)) == 0
+
+
+@pytest.mark.parametrize(("seed", "frequent"), [(4, 64), (5, 2)])
+def test_repeated_rows_match_all_pairs(spark, seed, frequent):
+    """Rows stand up to three times; short texts are near longer ones that hold them."""
+    dice = random.Random(seed)
+    rows = corpus(seed, 20)
+    for i in range(60):
+        size = dice.randrange(8, 40)
+        words = [f"r{i}x{k}" for k in range(size + 4)]
+        longer = words + [f"s{i}x{k}" for k in range(size // 5)]
+        rows += [(2_000 + 2 * i, " ".join(words)), (2_001 + 2 * i, " ".join(longer))]
+    rows = [row for row in rows for _ in range(dice.choice([1, 2, 3]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = ngram_join.near_duplicates(frame, frequent).collect()
+    assert sorted((tuple(row) for row in got), key=repr) == brute_force(rows)
+
+
+def several_texts():
+    """Triples of documents: a text, the same one and another one, one near that other one."""
+    rows = []
+    for i in range(0, 120, 3):
+        one, other = ([f"{kind}{i}x{k}" for k in range(60)] for kind in "ab")
+        rows += [(i, " ".join(one)), (i + 1, " ".join(one)), (i + 1, " ".join(other)), (i + 2, " ".join(other[:-2]))]
+    return rows
+
+
+def test_documents_with_several_texts(spark):
+    rows = several_texts()
+    parts = [spark.createDataFrame(rows[k::4], "doc_id bigint, text string").coalesce(1) for k in range(4)]
+    frame = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = ngram_join.near_duplicates(frame).collect()
+    assert sorted((tuple(row) for row in got), key=repr) == brute_force(rows)
+
+
+def test_lists_of_the_same_documents_keep_their_sizes(spark):
+    rows = [("x", 1, 10), ("x", 2, 13), ("y", 1, 90), ("y", 2, 90), ("z", 1, 90), ("z", 2, 90)]
+    got = ngram_join.distinct_lists(spark.createDataFrame(rows, "sig string, doc_id bigint, size bigint")).collect()
+    assert sorted((row.doc_id, row.size) for row in got) == [(1, 10), (1, 90), (2, 13), (2, 90)]
+
+
+def test_one_of_each_keeps_other_texts_of_a_document(spark):
+    """Rows with one doc_id go only for a row that is equal or near."""
+    rows = [*several_texts(), (500, "a b c d e f"), (500, "A b c  d e f"), (500, "quite another text"), (501, ""), (501, None), (502, " ")]
+    frame = spark.createDataFrame([*rows, (None, "a b c d e f")], "doc_id bigint, text string").repartition(4)
+    got = ngram_join.one_of_each(frame).collect()
+    expected = [(i, shingle_set(text)) for i, text in rows if i < 500 and i % 3 == 0]
+    expected += [(i, shingle_set(text)) for i, text in several_texts() if i % 3 == 1 and text[0] == "b"]
+    expected += [(500, shingle_set("a b c d e f")), (500, shingle_set("quite another text")), (501, frozenset()), (502, frozenset())]
+    known = [(row.doc_id, shingle_set(row.text)) for row in got if row.doc_id is not None]
+    assert sorted(known, key=repr) == sorted(expected, key=repr)
+    assert [row.text for row in got if row.doc_id is None] == ["a b c d e f"]
