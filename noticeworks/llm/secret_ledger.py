@@ -49,6 +49,18 @@ class SecretRule:
         return f"{self.kind}@{self.version}"
 
 
+#: What stands between the lines of a key: line ends, also escaped ones, quotes and signs that join strings.
+_GAP = rb"(?:[\s\"'>|,;]|\\[nrt]?|\+(?=[\s\"']))*+"
+#: A key from its BEGIN line to the matching END line; where that is missing, to the end of its headers
+#: and base64 lines, of which the last may be short.
+_PRIVATE_KEY = (
+    rb"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY((?: BLOCK)?)-----(?:"
+    rb"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END \1PRIVATE KEY\2-----|"
+    rb"(?:" + _GAP + rb"(?:Proc-Type|DEK-Info|Key-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\\"']*+)*+"
+    rb"(?:" + _GAP + rb"[A-Za-z0-9+/]{16,}+={0,2}+)*+"
+    rb"(?:(?!\s*?\n[ \t\r]*\n)" + _GAP + rb"=?[A-Za-z0-9+/]++={0,2}+(?=[ \t]*(?:[\r\n\\\"']|\Z)))?)"
+)
+
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     SecretRule(
@@ -61,10 +73,10 @@ RULES = (
     ),
     SecretRule("access", 1, rb"AKIA[A-Z0-9]+", 0, 20, (b"akia",)),
     SecretRule("hex", 1, rb"[0-9a-f]{24,}", 0, 24),
-    SecretRule("private_key", 1, rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, (b"private key-----",)),
+    SecretRule("private_key", 2, _PRIVATE_KEY, 0, 1, (b"private key-----", b"private key block-----")),
     SecretRule("web_token", 1, rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, (b"eyj",)),
     SecretRule("prefixed", 1, rb"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,})", 0, 1, (b"gh", b"xox")),
-    SecretRule("url_login", 1, rb"://[^\s/:@]{1,64}:[^\s/:@]{6,64}@", 0, 1, (b"://",)),
+    SecretRule("url_login", 2, rb"://[^\s/:@]+:[^\s/:@]{6,}@", 0, 1, (b"://",)),
 )
 
 _FINDINGS = "array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
