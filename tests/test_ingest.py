@@ -254,6 +254,22 @@ def test_a_month_that_was_loaded_is_not_loaded_again(spark, tmp_path, monkeypatc
     assert ingest.read_tenders(spark, paths).count() == 2
 
 
+def test_a_month_too_large_to_hold_is_not_finished(spark, tmp_path, monkeypatch):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    archives = []
+    for month, copies in (("202607", 40), ("202608", 1)):
+        archives.append(str(tmp_path / f"notices_{month}.zip"))
+        with zipfile.ZipFile(archives[-1], "w") as packed:
+            packed.writestr("x.atom", page(*[entry(f"K{month}")] * copies))
+    with monkeypatch.context() as patched:
+        patched.setattr(feed, "MAX_VALUE_BYTES", (tmp_path / "notices_202607.zip").stat().st_size - 1)
+        with pytest.raises(ValueError, match="too large.*notices_202607.zip"):
+            ingest.load_archives(spark, archives, paths, label="x", buckets=2)
+    assert [r["expediente"] for r in ingest.read_tenders(spark, paths).collect()] == ["K202608"]
+    ingest.load_archives(spark, archives, paths, label="x", buckets=2)
+    assert sorted(r["expediente"] for r in ingest.read_tenders(spark, paths).collect()) == ["K202607", "K202608"]
+
+
 def test_broken_archives_pages_and_bytes_are_refused_by_name(spark, tmp_path):
     whole = page(entry("A"), entry("B"))
     with zipfile.ZipFile(tmp_path / "good.zip", "w", zipfile.ZIP_DEFLATED) as packed:
