@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeworks.session import shared_dir, ship_package
 from noticeworks.sources.tables import read_table
 
+#: Input tables that only these operators read.
+TABLES = {"pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string"}
+
 #: Rows of a batch are worked on in blocks of about this many bytes of text.
 BLOCK_BYTES = 4 << 20
 
@@ -19,6 +22,8 @@ BLOCK_BYTES = 4 << 20
 def open_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """An input table, with this package handed to the Python workers."""
     ship_package(spark)
+    if name in TABLES:
+        return spark.read.schema(TABLES[name]).parquet(f"{directory.rstrip('/')}/{name}.parquet")
     return read_table(spark, directory, name)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeworks.llm import bpe, cascade, multi_index, ngram_join, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
+from noticeworks.llm import bpe, cascade, hard_negatives, multi_index, ngram_join, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
 from noticeworks.llm.common import open_table
 from noticeworks.session import shared_dir
 
@@ -62,6 +63,12 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(open_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = open_table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.mine(vectors, every=100, positives=5, negatives=5, least=80)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +80,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_multi_index": op10_multi_index,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 _RULES_SQL = r"""
@@ -103,6 +111,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR (n_words >= 100 AND 100 * n_distinct < 5 * n_words)) AS kept
 FROM counts"""
 
+_HARD_NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors a, vectors b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5"""
+
 #: SQL has neither these tokenizers, models and checksums nor places of matches; tests hold the others
 #: against the libraries, brute force and held-out labels.
-ORACLES = {"op5_quality_rules": _RULES_SQL}
+ORACLES = {"op5_quality_rules": _RULES_SQL, "op11_hard_negatives": _HARD_NEGATIVES_SQL}
