@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import bpe, cascade, hard_negatives, multi_index, ngram_join, orc_tokens, packing, pu_quality, secret_ledger, sharding, toxicity
+from noticeworks.llm import bpe, cascade, hard_negatives, multi_index, ngram_join, orc_tokens, packing, pu_quality, ranked_search, secret_ledger, sharding, toxicity
 from noticeworks.llm.common import open_table
 from noticeworks.session import shared_dir
 
@@ -69,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, every=100, positives=5, negatives=5, least=80)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_multi_index": op10_multi_index,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _RULES_SQL = r"""
@@ -132,6 +137,36 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5"""
 
+_RANKED_SEARCH_SQL = r"""
+WITH words AS (
+  SELECT page, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS page, doc_id, text FROM documents)),
+items AS (
+  SELECT DISTINCT item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+lengths AS (SELECT page, count(*) AS n FROM words GROUP BY page),
+total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+postings AS (
+  SELECT page, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words
+  WHERE term IN (SELECT term FROM items) GROUP BY page, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, total GROUP BY term),
+impacts AS (
+  SELECT page, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length))) AS impact
+  FROM postings JOIN weights USING (term) JOIN lengths USING (page), total),
+scores AS (
+  SELECT item_id, page, any_value(doc_id) AS doc_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM items JOIN impacts USING (term) GROUP BY item_id, page)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+       doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10"""
+
 #: SQL has neither these tokenizers, models and checksums nor places of matches; tests hold the others
 #: against the libraries, brute force and held-out labels.
-ORACLES = {"op5_quality_rules": _RULES_SQL, "op11_hard_negatives": _HARD_NEGATIVES_SQL}
+ORACLES = {"op5_quality_rules": _RULES_SQL, "op11_hard_negatives": _HARD_NEGATIVES_SQL, "op13_ranked_search": _RANKED_SEARCH_SQL}
