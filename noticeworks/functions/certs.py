@@ -37,12 +37,13 @@ def folding() -> tuple[str, str, dict[str, str]]:
 def _plain_text(text: Column) -> Column:
     accented, plain, longer = folding()
     opened = F.regexp_replace(text, r"\p{Mn}+", "")
-    marks = "[" + "".join(longer) + "]"
+    # A class of that many characters in a pattern costs far more than translating them away.
+    holds_longer = F.length(F.translate(opened, "".join(longer), "")) < F.length(opened)
     spelled = F.transform(
         F.split(opened, ""), lambda c: F.coalesce(F.try_element_at(literal_map(longer), c), c)
     )
     # Few texts hold a character that becomes several; only those are taken apart.
-    return F.translate(F.when(opened.rlike(marks), F.array_join(spelled, "")).otherwise(opened), accented, plain)
+    return F.translate(F.when(holds_longer, F.array_join(spelled, "")).otherwise(opened), accented, plain)
 
 
 def fold(text: Column) -> Column:

@@ -6,9 +6,12 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from noticeworks.operators import merge
 from noticeworks.sources import feed
-from noticeworks.streaming import ingest, stale
+from noticeworks.streaming import ingest, snapshot, stale
+from noticeworks.streaming.snapshot import Snapshot
 
 NAMESPACES = (
     'xmlns="http://www.w3.org/2005/Atom" xmlns:cbc="urn:b" xmlns:cac="urn:a" '
@@ -175,27 +178,117 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert ingest.read_rejects(spark, paths).count() == 1
 
 
-def test_finished_staging_is_used_after_a_crash(spark, tmp_path, monkeypatch):
-    """The run dies after it lost a stored bucket; the repeated batch brings all rows back."""
+@pytest.mark.parametrize("dies_in", ["parquet of delta", "commit", "counts"])
+def test_a_batch_that_died_leaves_a_whole_table_and_can_be_repeated(spark, tmp_path, monkeypatch, dies_in):
     paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
-    ingest.write_batch(parsed(spark, entry("A"), entry("B")), "b0", paths, None, 1)
-    batch = parsed(spark, entry("C"))
+    ingest.write_batch(parsed(spark, entry("A"), entry("B")), "b0", paths, None, 2)
+    before = stored(spark, paths)
+    batch = parsed(spark, entry("C"), entry("A", updated="2026-08-30T00:00:00+00:00", title="Nuevo"))
 
-    commit = ingest._commit
+    def die(*_):
+        raise RuntimeError("lost")
 
-    def die(session, where, label, state):
-        if state == "done":
-            raise RuntimeError("lost")
-        commit(session, where, label, state)
+    with monkeypatch.context() as patched:
+        if dies_in == "commit":
+            patched.setattr(Snapshot, "_commit", die)
+        elif dies_in == "counts":
+            patched.setattr(ingest, "COUNTED", "no schema")
+        else:
+            patched.setattr(feed, "ingest", die)
+        with pytest.raises(Exception):
+            ingest.write_batch(batch, "b1", paths, None, 2)
+    if dies_in != "counts":
+        assert stored(spark, paths) == before
+    ingest.write_batch(batch, "b1", paths, None, 2)
+    found = {r["expediente"]: r["title"] for r in ingest.read_tenders(spark, paths).collect()}
+    assert found == {"A": "Nuevo", "B": "Portal web", "C": "Portal web"}
+    assert ingest.read_or_empty(spark, paths.counts, ingest.COUNTS).agg(F.sum("entries")).first()[0] == 4
+
+
+def test_readers_see_one_whole_version_whatever_a_compaction_does(spark, tmp_path, monkeypatch):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    table = ingest.tender_table(spark, paths, 4)
+    for number in range(3):
+        rows = [entry(f"K{i}", updated=f"2026-08-{10 + number}T00:00:00+00:00", title=f"T{number}") for i in range(number, 6)]
+        ingest.write_batch(parsed(spark, *rows), f"b{number}", paths, None, 4)
+    old, whole = table.read(), stored(spark, paths)
+    version = table.current()
+    assert (version.version, len(version.deltas), version.base) == (3, 3, {})
+
+    def die(*_):
+        raise RuntimeError("lost")
 
     with monkeypatch.context() as patched:
-        patched.setattr(ingest, "_commit", die)
+        patched.setattr(Snapshot, "_commit", die)
         with pytest.raises(RuntimeError):
-            ingest.write_batch(batch, "b1", paths, None, 1)
-    for file in (tmp_path / "store" / "tenders" / "bucket=0").glob("*.parquet"):
-        file.unlink()
-    ingest.write_batch(batch, "b1", paths, None, 1)
-    assert sorted(r["expediente"] for r in ingest.read_tenders(spark, paths).collect()) == ["A", "B", "C"]
+            table.compact()
+    assert stored(spark, paths) == whole and table.current() == version
+    table.compact()
+    assert stored(spark, paths) == whole
+    after = table.current()
+    assert (after.version, after.deltas) == (4, []) and set(after.base) <= set(range(4))
+    # A reader that began before goes on, until old folders are given back.
+    assert old.count() == 6 and sorted(r["title"] for r in old.collect()) == ["T0", "T1", "T2", "T2", "T2", "T2"]
+    ingest.write_batch(parsed(spark, entry("Z")), "b9", paths, None, 4)
+    table.compact()
+    again = table.current()
+    changed = [bucket for bucket in again.base if again.base[bucket] != after.base.get(bucket)]
+    assert len(changed) == 1 and stored(spark, paths) != whole
+    assert table.expire() > 0 and table.read().count() == 7
+
+
+def test_deltas_merge_like_one_upsert_after_another(spark, tmp_path, monkeypatch):
+    """Titles, creation times and vectors come out as if every batch had been merged at once."""
+    monkeypatch.setattr(snapshot, "DELTAS", 3)
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    table = ingest.tender_table(spark, paths, 2)
+    plain = spark.createDataFrame([], T.StructType(ingest.STORED.fields[:-1]))
+    for number in range(5):
+        rows = [
+            entry(f"K{i}", updated=f"2026-08-{10 + (7 * number + i) % 9}T00:00:00+00:00", title=f"T{(number + i) % 3 // 2}")
+            for i in range(number % 2, 6 + number)
+        ]
+        fresh = feed.ingest(parsed(spark, *rows))
+        now = F.lit(f"2026-09-0{number + 1}").cast("timestamp")
+        table.add(fresh, f"b{number}", now)
+        # The rows are taken out and put in again, so that the plan stays short.
+        merged = merge.upsert_tenders(plain, fresh, now).collect()
+        plain = spark.createDataFrame(merged, plain.schema)
+        columns = plain.columns
+        assert sorted(map(str, table.read().select(*columns).collect())) == sorted(map(str, merged))
+    assert table.current().version == 6 and table.current().buckets == 2
+
+
+def test_two_writers_of_one_version_are_told(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    table = ingest.tender_table(spark, paths, 2)
+    fresh = feed.ingest(parsed(spark, entry("A")))
+    table.add(fresh, "b0", F.current_timestamp())
+    with pytest.raises(RuntimeError, match="two writers"):
+        table._commit(table.current())
+
+
+def test_progress_is_told_while_the_stream_runs(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    for number in range(3):
+        land(tmp_path / "feed", f"p{number}", entry(f"K{number}"), entry(f"L{number}"), entry(f"bad{number}", status="?"))
+    told = []
+    counts = ingest.run_ingest(spark, paths, max_files=1, buckets=2, tell=told.append)
+    assert counts == {"entries": 9, "refused": 3}
+    assert [(t["batch"], t["entries"], t["refused"]) for t in sorted(told, key=lambda t: t["batch"])] == [(i, 3, 1) for i in range(3)]
+
+
+def test_repeated_entries_are_dropped_within_a_time_and_late_versions_are_not(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    at = lambda day: f"2026-08-{day:02d}T00:00:00+00:00"
+    land(tmp_path / "feed", "p1", entry("A", at(9)), entry("B", at(9)), entry("bad", at(9), status="?"))
+    run = lambda: ingest.run_ingest(spark, paths, buckets=2, repeated_within="1 hour", max_files=1)
+    assert run() == {"entries": 3, "refused": 1}
+    land(tmp_path / "feed", "p2", entry("A", at(9)), entry("B", at(9)), entry("B", at(9), title="Otro"), entry("bad", at(9), status="?"))
+    land(tmp_path / "feed", "p3", entry("A", at(10), title="Nuevo"), entry("A", at(1), title="Viejo"), entry("C", at(9)))
+    assert run() == {"entries": 4, "refused": 0}
+    found = {r["expediente"]: r["title"] for r in ingest.read_tenders(spark, paths).collect()}
+    assert found["A"] == "Nuevo" and set(found) == {"A", "B", "C"}
 
 
 def test_archives_merge_into_the_same_table(spark, tmp_path):
