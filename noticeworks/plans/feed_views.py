@@ -14,10 +14,14 @@ from noticeworks import schemas
 from noticeworks.operators.reshape import to_text
 from noticeworks.plans import views
 from noticeworks.session import shared_dir
+from noticeworks.sources import archives as source
+from noticeworks.sources import feed
 from noticeworks.sources.tables import read_table
 
 # A page holds the entries of one month whose keys fall into one range of this width.
 PAGE_WIDTH = 4000
+# Folders that this application has written for a table directory.
+_WRITTEN: dict[tuple[str, ...], str] = {}
 # Namespace names of the public notice format.
 _NAMESPACES = (
     'xmlns="http://www.w3.org/2005/Atom" '
@@ -197,6 +201,32 @@ def archives(spark: SparkSession, sf: str) -> DataFrame:
     return pages.groupBy("month").applyInPandas(_zipped, "path string, content binary")
 
 
+def archive_folder(spark: SparkSession, sf: str) -> str:
+    """Folder with the archives of all months as files, written once by the tasks that pack them."""
+    key = (spark.sparkContext.applicationId, sf, "archives")
+    if key not in _WRITTEN:
+        folder = shared_dir(spark, "archives")
+
+        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system, inside = source.opened(folder)
+            system.create_dir(inside)
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"]):
+                    with system.open_output_stream(f"{inside}/{path}") as file:
+                        file.write(content)
+                yield batch[["path"]]
+
+        archives(spark, sf).mapInPandas(write, "path string").count()
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
+def archive_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages in those archives, each under its archive's name."""
+    pages = feed.read_archives(spark, [archive_folder(spark, sf)])
+    return pages.withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
 def _as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": [f"<feed {_NAMESPACES}>"]})
     for batch in batches:
@@ -204,9 +234,6 @@ def _as_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["</feed>"]})
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
 def feed_directory(spark: SparkSession, sf: str) -> str:
     """Folder with all entries as feed files, one document per partition, written once."""
     key = (spark.sparkContext.applicationId, sf)

@@ -286,7 +286,7 @@ SELECT path, member, expediente, false AS corrupt FROM {_ARCHIVED}
 UNION ALL SELECT DISTINCT path, member, NULL, true FROM {_ARCHIVED} WHERE page % 5 = 2""",
 )
 def scan_archives(spark, sf):
-    pages = feed.archive_pages(feed_views.archives(spark, sf))
+    pages = feed_views.archive_texts(spark, sf)
     return feed.page_entries(pages).select(
         "path",
         "member",
@@ -303,7 +303,7 @@ UNION ALL SELECT DISTINCT path, member, NULL, 'entry malformed' FROM {_ARCHIVED}
 )
 def archive_rejects(spark, sf):
     """What is refused from the archives, and where it lies; of a broken page's rest only that it is malformed."""
-    pages = feed.archive_pages(feed_views.archives(spark, sf))
+    pages = feed_views.archive_texts(spark, sf)
     parsed = feed.parse_entries(feed.page_entries(pages), "path", "member")
     malformed = F.array_contains("reasons", "entry malformed")
     reasons = F.when(malformed, F.lit("entry malformed")).otherwise(F.array_join("reasons", "; "))
@@ -339,7 +339,7 @@ _IN_SCOPE = "len(reasons) = 0 AND len(list_filter(norm_codes, lambda x: starts_w
 )
 def backfill(spark, sf):
     """All monthly archives: unpack, parse, refuse, keep the division, newest version per key."""
-    entries = feed.page_entries(feed.archive_pages(feed_views.archives(spark, sf)))
+    entries = feed.page_entries(feed_views.archive_texts(spark, sf))
     loaded = feed.ingest(feed.parse_entries(entries))
     return loaded.select(
         F.date_format("updated_at_source", "yyyyMM").alias("month"), *_tender_columns()

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,6 +16,8 @@ from pyspark.sql import types as T
 from noticeworks import schemas
 from noticeworks.functions import codes, dates
 from noticeworks.operators.merge import latest_version
+from noticeworks.sources import archives
+from noticeworks.sources.members import unpacked
 
 XML_OPTIONS = {
     "ignoreNamespace": "true",
@@ -25,7 +25,7 @@ XML_OPTIONS = {
     "columnNameOfCorruptRecord": "_corrupt_record",
     "encoding": "UTF-8",
 }
-# The engine holds a file as one value of at most this many bytes; larger archives are refused by name.
+# The engine holds a value of at most this many bytes; where archives can't be read by range, larger ones are refused by name.
 MAX_VALUE_BYTES = (1 << 31) - 1
 
 
@@ -147,27 +147,6 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield frame.astype({"method": "Int32", "crc": "Int64"})
 
 
-_DECLARED = re.compile(rb"""\A(?:\xef\xbb\xbf)?\s*<\?xml[^>]*?encoding=["']([A-Za-z0-9._-]+)["']""")
-
-
-def _unpacked(packed: bytes, method: int, crc: int) -> str:
-    """The text of a member, by its declared encoding; raises a ValueError that says what is wrong."""
-    if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-        raise ValueError("member packed in an unknown way")
-    try:
-        content = packed if method == zipfile.ZIP_STORED else zlib.decompress(packed, -15)
-    except zlib.error as fault:
-        raise ValueError("member damaged") from fault
-    if zlib.crc32(content) != crc:
-        raise ValueError("member damaged")
-    declared = _DECLARED.match(content)
-    encoding = declared.group(1).decode("ascii") if declared else "utf-8"
-    try:
-        return content.decode("utf-8-sig" if encoding.lower() == "utf-8" else encoding)
-    except (UnicodeDecodeError, LookupError) as fault:
-        raise ValueError(f"member not readable as {encoding}") from fault
-
-
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, errors = [], []
@@ -175,7 +154,7 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = None
             if error is None:
                 try:
-                    text = _unpacked(packed, int(method), int(crc))
+                    text = unpacked(packed, int(method), int(crc))
                 except ValueError as fault:
                     error = str(fault)
             texts.append(text)
@@ -196,6 +175,18 @@ def archive_pages(archives: DataFrame) -> DataFrame:
     )
 
 
+def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every feed page packed in archive files: path, member and its text, or an error.
+
+    Archives are read by range, of any size and with several tasks each. In a store that only
+    Spark's own readers know, each is read as one value and cut by one task, and one larger
+    than the engine can hold as a value gives an error.
+    """
+    if all(map(archives.readable, paths)):
+        return archives.read_archives(spark, paths)
+    return archive_pages(scan_archive_files(spark, paths))
+
+
 def archive_paths(base: str, reference: str, count: int, spark: SparkSession) -> list[str]:
     """Load paths of the monthly archives up to a date, oldest first."""
     months = dates.recent_months(F.lit(reference).cast("date"), count)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeworks.operators import merge
-from noticeworks.sources import feed
+from noticeworks.sources import archives, feed
 from noticeworks.streaming import ingest, snapshot, stale
 from noticeworks.streaming.snapshot import Snapshot
 
@@ -347,23 +347,57 @@ def test_a_month_that_was_loaded_is_not_loaded_again(spark, tmp_path, monkeypatc
     assert ingest.read_tenders(spark, paths).count() == 2
 
 
-def test_a_month_too_large_to_hold_is_not_finished(spark, tmp_path, monkeypatch):
+def packed_month(path, pages, size=1):
+    with zipfile.ZipFile(path, "w") as packed:
+        for number in range(pages):
+            packed.writestr(f"p{number}.atom", page(*[entry(f"K{path.stem}-{number}")] * size))
+    return str(path)
+
+
+def test_archives_are_read_by_range_whatever_their_size(spark, tmp_path, monkeypatch):
+    """More tasks than archives, each member once, also where one value could not hold the archive."""
+    monkeypatch.setattr(feed, "MAX_VALUE_BYTES", 1_000)
+    files = [packed_month(tmp_path / f"notices_20260{month}.zip", 9, size=5) for month in (7, 8)]
+    assert all(dict(archives.archive_files(files))[file] > 50_000 for file in files)
+    pages = archives.read_archives(spark, files, range_bytes=10_000)
+    assert pages.rdd.getNumPartitions() > 2 * len(files)
+    rows = pages.collect()
+    assert sorted((r["path"], r["member"]) for r in rows) == sorted((f, f"p{i}.atom") for f in files for i in range(9))
+    assert all(r["error"] is None and r["text"].count("<entry>") == 5 for r in rows)
+    busy = pages.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert busy > 2 * len(files)
     paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
-    archives = []
-    for month, copies in (("202607", 40), ("202608", 1)):
-        archives.append(str(tmp_path / f"notices_{month}.zip"))
-        with zipfile.ZipFile(archives[-1], "w") as packed:
-            packed.writestr("x.atom", page(*[entry(f"K{month}")] * copies))
-    with monkeypatch.context() as patched:
-        patched.setattr(feed, "MAX_VALUE_BYTES", (tmp_path / "notices_202607.zip").stat().st_size - 1)
-        with pytest.raises(ValueError, match="too large.*notices_202607.zip"):
-            ingest.load_archives(spark, archives, paths, label="x", buckets=2)
-    assert [r["expediente"] for r in ingest.read_tenders(spark, paths).collect()] == ["K202608"]
-    ingest.load_archives(spark, archives, paths, label="x", buckets=2)
-    assert sorted(r["expediente"] for r in ingest.read_tenders(spark, paths).collect()) == ["K202607", "K202608"]
+    ingest.load_archives(spark, files, paths, label="x", buckets=2)
+    assert ingest.read_tenders(spark, paths).count() == 18
+    whole = archives.read_archives(spark, [str(tmp_path)]).collect()
+    assert {(r["path"], r["member"]) for r in whole} == {(r["path"], r["member"]) for r in rows}
+
+
+def test_each_member_belongs_to_one_range(tmp_path):
+    file = packed_month(tmp_path / "m.zip", 7)
+    size = dict(archives.archive_files([file]))[file]
+    for step in (1, 999, 4_096, size, size + 1):
+        starts = range(0, size, step) if step > 1 else [0, *(i.header_offset for i in zipfile.ZipFile(file).infolist()), size]
+        ends = [*list(starts)[1:], size]
+        found = [name for a, b in zip(starts, ends) for name, _, _ in archives.members(archives.ByteRange(file, a, b))]
+        assert sorted(found) == [f"p{i}.atom" for i in range(7)]
+
+
+def test_a_month_that_cannot_be_read_is_not_finished(spark, tmp_path):
+    paths = ingest.IngestPaths.below(str(tmp_path / "feed"), str(tmp_path / "store"))
+    good = packed_month(tmp_path / "notices_202608.zip", 1)
+    bad = tmp_path / "notices_202607.zip"
+    bad.write_bytes((tmp_path / "notices_202608.zip").read_bytes()[:-30])
+    with pytest.raises(ValueError, match="not readable.*notices_202607.zip"):
+        ingest.load_archives(spark, [str(bad), good], paths, label="x", buckets=2)
+    assert [r["expediente"] for r in ingest.read_tenders(spark, paths).collect()] == ["Knotices_202608-0"]
+    packed_month(bad, 1)
+    ingest.load_archives(spark, [str(bad), good], paths, label="x", buckets=2)
+    assert ingest.read_tenders(spark, paths).count() == 2
 
 
-def test_broken_archives_pages_and_bytes_are_refused_by_name(spark, tmp_path):
+@pytest.mark.parametrize("by_range", [True, False])
+def test_broken_archives_pages_and_bytes_are_refused_by_name(spark, tmp_path, monkeypatch, by_range):
     whole = page(entry("A"), entry("B"))
     with zipfile.ZipFile(tmp_path / "good.zip", "w", zipfile.ZIP_DEFLATED) as packed:
         packed.writestr("a.atom", whole)
@@ -372,8 +406,9 @@ def test_broken_archives_pages_and_bytes_are_refused_by_name(spark, tmp_path):
         packed.writestr("bytes.atom", page(entry("F", title="Año")).encode("latin-1"))
         packed.writestr("text.atom", "no page at all")
     (tmp_path / "broken.zip").write_bytes(b"PK nothing")
-    archives = feed.scan_archive_files(spark, [str(tmp_path / "good.zip"), str(tmp_path / "broken.zip")])
-    rows = feed.parse_entries(feed.page_entries(feed.archive_pages(archives)), "path", "member")
+    monkeypatch.setattr(archives, "readable", lambda path: by_range)
+    pages = feed.read_archives(spark, [str(tmp_path / "good.zip"), str(tmp_path / "broken.zip")])
+    rows = feed.parse_entries(feed.page_entries(pages), "path", "member")
     kept = {r["expediente"]: r["title"] for r in feed.accepted(rows).collect()}
     assert kept == {"A": "Portal web", "B": "Portal web", "C": "Portal web", "E": "Año"}
     refused = {(r["path"].rsplit("/", 1)[-1], r["member"]): r["reasons"] for r in feed.rejects(rows).collect()}
