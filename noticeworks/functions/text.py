@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +41,7 @@ def visible_length(text: Column) -> Column:
 @lru_cache(maxsize=1)
 def spanish_stopwords() -> tuple[str, ...]:
     """The stop word list that ships with Spark."""
-    jvm = SparkSession.getActiveSession()._jvm
-    words = jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords("spanish")
-    return tuple(sorted(set(words)))
-
-
-def stopwords() -> Column:
-    return F.expr("array(" + ", ".join(f"'{w}'" for w in spanish_stopwords()) + ")")
+    return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords("spanish"))))
 
 
 def raw_words(text: Column) -> Column:
@@ -54,11 +49,6 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def significant(tokens: Column) -> Column:
-    """Distinct words of a token array without stop words, sorted."""
-    return F.sort_array(F.array_except(tokens, stopwords()))
-
-
 def mask_long(text: Column, limit: int = MASK_LIMIT) -> Column:
     """Long text cut at `limit` characters with a note of its full length."""
     length = F.length(text).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noticeworks.operators import evaluation, funnel, ranking, tenders
 from noticeworks.functions import display
 from noticeworks.plans import views
-from noticeworks.plans.oracle_views import AS_OF_SQL, sql_case
+from noticeworks.plans.oracle_views import AS_OF_SQL, query_terms_sql, sql_case, title_terms_sql
 from noticeworks.plans.registry import query, stamp
 
 DIMENSION = 64
@@ -188,19 +188,19 @@ def funnel_matches(spark, sf):
     return pages.select("provider_id", "expediente", "position", stamp("published_at"))
 
 
-@query("title_terms", "SELECT expediente, term, tf FROM title_terms_v")
+@query("title_terms", title_terms_sql("spanish_tenders_v"))
 def title_terms(spark, sf):
-    return ranking.title_terms(views.tenders(spark, sf), stemmed=False).select("expediente", "term", "tf")
+    return ranking.title_terms(views.spanish_tenders(spark, sf))
 
 
 @query(
     "query_terms",
-    """
+    f"""
 SELECT p.provider_id, coalesce(string_agg(q.term, ' | ' ORDER BY q.term), '') AS terms, count(q.term) AS n_terms
-FROM providers_v p LEFT JOIN query_terms_v q ON p.provider_id = q.provider_id GROUP BY p.provider_id""",
+FROM providers_v p LEFT JOIN ({query_terms_sql("spanish_providers_v")}) q ON p.provider_id = q.provider_id GROUP BY p.provider_id""",
 )
 def query_terms(spark, sf):
-    return ranking.query_terms(views.providers(spark, sf), stemmed=False).select(
+    return ranking.query_terms(views.spanish_providers(spark, sf)).select(
         "provider_id",
         F.array_join("query_terms", " | ").alias("terms"),
         F.size("query_terms").alias("n_terms"),

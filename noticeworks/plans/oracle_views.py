@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from noticeworks.functions import codes
-from noticeworks.plans.views import AS_OF, CERT_CASES
+from noticeworks.functions import codes, stem
+from noticeworks.plans.views import AS_OF, CERT_CASES, SPANISH
 
 
 def sql_text(value: str) -> str:
@@ -118,14 +118,94 @@ WHERE t.status = 'open_for_submission' AND t.submission_deadline >= {AS_OF_SQL}"
 
 VIEWS["candidates_v"] = "SELECT * FROM code_pairs_v WHERE fits_budget AND fits_location"
 
-VIEWS["title_terms_v"] = """
-SELECT expediente, term, count(*) AS tf
-FROM (SELECT expediente, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) AS term FROM tenders_v)
-GROUP BY expediente, term"""
-
-VIEWS["query_terms_v"] = """
-SELECT DISTINCT provider_id, term
-FROM (SELECT provider_id, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}]+')) AS term FROM providers_v)"""
+_VOWEL, _CONSONANT = f"[{stem.VOWELS}]", f"[^{stem.VOWELS}]"
+
+
+def stem_sql(words: str) -> str:
+    """word and stem of the distinct words that a statement selects as `word`: the Snowball rules in SQL."""
+    any_of = lambda suffixes: "'(?:" + "|".join(suffixes) + ")$'"
+    listed = lambda names: "(" + ", ".join(f"'{name}'" for name in names) + ")"
+    after = lambda pattern: (
+        f"CASE WHEN regexp_matches(word, '{pattern}') THEN length(regexp_extract(word, '{pattern}')) ELSE length(word) END"
+    )
+    less = lambda whole, end: f"left({whole}, length({whole}) - length({end}))"
+
+    def cut(whole: str, suffixes) -> str:
+        end = f"regexp_extract({whole}, {any_of(suffixes)})"
+        return f"CASE WHEN {end} <> '' AND length({less(whole, end)}) >= r2 THEN {less(whole, end)} ELSE {whole} END"
+
+    r1 = f"^{_CONSONANT}*{_VOWEL}+{_CONSONANT}"
+    replaced = " ".join(f"WHEN '{old}' THEN base || '{new}'" for old, new in stem.REPLACED.items())
+    adverb = cut("base", ("iv", "os", "ic", "ad"))
+    return f"""
+WITH w0 AS (SELECT DISTINCT word FROM ({words})),
+w1 AS (SELECT word, {after(r1)} AS r1, {after(f"{r1}{_CONSONANT}*{_VOWEL}+{_CONSONANT}")} AS r2,
+    CASE WHEN length(word) < 2 THEN length(word)
+         WHEN NOT regexp_matches(word, '^.{_VOWEL}') THEN {after(f"^..{_CONSONANT}*{_VOWEL}")}
+         WHEN regexp_matches(word, '^{_VOWEL}') THEN {after(f"^..{_VOWEL}*{_CONSONANT}")} ELSE least(3, length(word)) END AS rv,
+    regexp_extract(word, {any_of(stem.PRONOUNS)}) AS pronoun FROM w0),
+w2 AS (SELECT *, {less("word", "pronoun")} AS base FROM w1),
+w3 AS (SELECT *, regexp_extract(substr(base, rv + 1), {any_of((*stem.ACCENTED_VERBS, *stem.PLAIN_VERBS, "yendo"))}) AS form FROM w2),
+w4 AS (SELECT word, rv, r1, r2, CASE WHEN pronoun = '' OR form = '' THEN word
+    WHEN form IN {listed(stem.ACCENTED_VERBS)} THEN {less("base", "form")} || translate(form, 'áéíóú', 'aeiou')
+    WHEN form = 'yendo' AND NOT ends_with({less("base", "form")}, 'u') THEN word ELSE base END AS bare FROM w3),
+w5 AS (SELECT *, regexp_extract(bare, {any_of(stem.STANDARD)}) AS ending FROM w4),
+w6 AS (SELECT *, {less("bare", "ending")} AS base FROM w5),
+w7 AS (SELECT *, {adverb} AS adverb FROM w6),
+w8 AS (SELECT *, CASE WHEN ending = '' OR length(base) < CASE WHEN ending = 'amente' THEN r1 ELSE r2 END THEN bare
+    WHEN ending IN {listed(stem.REPLACED)} THEN CASE ending {replaced} END
+    WHEN ending IN {listed(stem.AGENTS)} THEN {cut("base", ("ic",))}
+    WHEN ending = 'amente' THEN CASE WHEN adverb <> base AND ends_with(base, 'iv') THEN {cut("adverb", ("at",))} ELSE adverb END
+    WHEN ending = 'mente' THEN {cut("base", ("ante", "able", "ible"))}
+    WHEN ending IN ('idad', 'idades') THEN {cut("base", ("abil", "ic", "iv"))}
+    WHEN ending IN ('iva', 'ivo', 'ivas', 'ivos') THEN {cut("base", ("at",))} ELSE base END AS shorter,
+    regexp_extract(substr(bare, rv + 1), {any_of(stem.Y_VERBS)}) AS y_form,
+    regexp_extract(substr(bare, rv + 1), {any_of((*stem.VERBS, *stem.VERBS_AFTER_GU))}) AS verb_form FROM w7),
+w9 AS (SELECT word, rv, CASE WHEN shorter <> bare THEN shorter
+    WHEN y_form <> '' AND ends_with({less("bare", "y_form")}, 'u') THEN {less("bare", "y_form")}
+    WHEN verb_form IN {listed(stem.VERBS_AFTER_GU)} AND ends_with({less("bare", "verb_form")}, 'gu')
+      THEN left(bare, length(bare) - length(verb_form) - 1)
+    ELSE {less("bare", "verb_form")} END AS kept FROM w8),
+w10 AS (SELECT *, regexp_extract(substr(kept, rv + 1), {any_of((*stem.RESIDUE, "e", "é"))}) AS ending FROM w9),
+w11 AS (SELECT *, {less("kept", "ending")} AS base FROM w10)
+SELECT word, translate(CASE WHEN ending IN ('e', 'é') AND ends_with(base, 'gu') AND length(base) - 1 >= rv
+    THEN left(base, length(base) - 1) ELSE base END, 'áéíóú', 'aeiou') AS stem FROM w11"""
+
+
+#: Words of a text column in SQL, without stop words.
+def _words_sql(table: str, key: str, column: str) -> str:
+    return f"""SELECT {key}, word FROM (SELECT {key}, unnest(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+')) AS word
+    FROM {table}) WHERE word NOT IN (SELECT word FROM stop_words_v)"""
+
+
+# The function words among the texts that the queries make.
+VIEWS["stop_words_v"] = "SELECT unnest(['el', 'de', 'la', 'las', 'los', 'y', 'un', 'para', 'con', 'a', 'en']) AS word"
+
+
+def title_terms_sql(table: str) -> str:
+    words = _words_sql(table, "expediente", "title")
+    return f"""SELECT expediente, stem AS term, count(*) AS tf
+    FROM ({words}) JOIN ({stem_sql(words)}) USING (word) GROUP BY expediente, stem"""
+
+
+def query_terms_sql(table: str) -> str:
+    words = _words_sql(table, "provider_id", "description")
+    first = f"SELECT provider_id, stem AS word FROM ({words}) JOIN ({stem_sql(words)}) USING (word) WHERE stem NOT IN (SELECT word FROM stop_words_v)"
+    return f"SELECT DISTINCT provider_id, stem AS term FROM ({first}) JOIN ({stem_sql(first)}) USING (word)"
+
+
+VIEWS["title_terms_v"] = title_terms_sql("tenders_v")
+
+VIEWS["query_terms_v"] = query_terms_sql("providers_v")
+
+# The same texts with inflected Spanish words in them.
+VIEWS["spanish_tenders_v"] = f"""
+SELECT expediente, title || ' ' || list_extract({SPANISH}, CAST(order_key % {len(SPANISH)} + 1 AS INT)) || ' de la '
+       || list_extract({SPANISH}, CAST(order_key * 7 % {len(SPANISH)} + 1 AS INT)) AS title FROM tenders_v"""
+
+VIEWS["spanish_providers_v"] = f"""
+SELECT provider_id, description || ' ' || list_extract({SPANISH}, CAST(supplier_key % {len(SPANISH)} + 1 AS INT)) || ' y '
+       || list_extract({SPANISH}, CAST(supplier_key * 5 % {len(SPANISH)} + 1 AS INT)) AS description FROM providers_v"""
 
 VIEWS["lexical_v"] = """
 SELECT c.provider_id, c.expediente,

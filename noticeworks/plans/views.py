@@ -15,6 +15,12 @@ from noticeworks import schemas
 from noticeworks.functions import codes, text
 from noticeworks.sources.tables import read_table
 
+# Inflected words that the term queries add to titles and descriptions.
+SPANISH = (
+    "licitaciones licitación licitamos rápidamente aplicaciones aplicación seguridad actividades mantenimientos "
+    "desarrollándolo construyendo averigüe torrenciales distribuciones accesibilidad positivamente agentes creativos "
+    "portales leyendo siguen analogías frecuencias"
+).split()
 AS_OF = "1998-06-01 00:20:00"
 ROLE_REQUIRED = "required_to_bid"
 ROLE_SCORED = "award_criterion"
@@ -519,3 +525,19 @@ def trace_spans(spark: SparkSession, sf: str) -> DataFrame:
             F.col("value").alias("latency_s"),
         )
     )
+
+
+def spanish_tenders(spark: SparkSession, sf: str) -> DataFrame:
+    """expediente and title of all tenders, with two inflected Spanish words in each title."""
+    words, key = F.array(*map(F.lit, SPANISH)), F.col("order_key")
+    word = lambda place: F.get(words, (place % len(SPANISH)).cast("int"))
+    title = F.concat("title", F.lit(" "), word(key), F.lit(" de la "), word(key * 7))
+    return tenders(spark, sf).select("expediente", title.alias("title"))
+
+
+def spanish_providers(spark: SparkSession, sf: str) -> DataFrame:
+    """provider_id and description of all providers, with two inflected Spanish words in each description."""
+    words, key = F.array(*map(F.lit, SPANISH)), F.col("supplier_key")
+    word = lambda place: F.get(words, (place % len(SPANISH)).cast("int"))
+    description = F.concat("description", F.lit(" "), word(key), F.lit(" y "), word(key * 5))
+    return providers(spark, sf).select("provider_id", description.alias("description"))

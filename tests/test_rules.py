@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeworks import schemas
+import plain_stem
 from noticeworks.functions import certs, codes, dates, display, ranking, stem, text
 from noticeworks.operators import citations, costs, documents, evaluation, freetext, verdicts
 from noticeworks.operators import ranking as operator_ranking
@@ -190,10 +191,9 @@ def test_code_search(spark, code, prefix, hit):
 def test_lexical_score_matches_published_value(spark):
     """Three single matches out of 21 query terms."""
     terms = F.array(*[F.lit(f"t{i}") for i in range(21)])
-    rows = spark.createDataFrame([(["t1", "t2", "t3", "x"],)], "tokens array<string>")
-    rows = rows.withColumn("distinct", text.significant(F.col("tokens")))
-    rows = rows.withColumn("title", ranking.weighted_terms(F.col("distinct"), F.col("tokens")))
-    score = rows.select(ranking.lexical_score(F.col("title"), terms)).first()[0]
+    rows = spark.createDataFrame([("t", "t1 t2 t3 x")], "expediente string, title string")
+    rows = operator_ranking.with_title_terms(rows)
+    score = rows.select(ranking.lexical_score(F.col("title_terms"), terms)).first()[0]
     assert round(score, 6) == 0.008685
 
 
@@ -204,8 +204,12 @@ def test_repeated_term_weighs_more(spark):
 
 
 def test_stop_words_are_left_out(spark):
-    found = text.significant(text.raw_words(F.lit("Desarrollo de la sede electrónica para el sector")))
-    assert value(spark, found) == ["desarrollo", "electrónica", "sector", "sede"]
+    title = "Desarrollo de la sede electrónica para el sector, y el Sector"
+    rows = spark.createDataFrame([("t", title), ("u", title), ("none", None), ("empty", ""), ("stop", "de la")], "expediente string, title string")
+    found = {(r["expediente"], r["term"], r["tf"]) for r in operator_ranking.title_terms(rows).collect()}
+    assert found == {(key, *term) for key in "tu" for term in (("desarroll", 1), ("sed", 1), ("electron", 1), ("sector", 2))}
+    arrays = {r["expediente"]: len(r["title_terms"]) for r in operator_ranking.with_title_terms(rows).collect()}
+    assert arrays == {"t": 4, "u": 4, "none": 0, "empty": 0, "stop": 0}
 
 
 @pytest.mark.parametrize(
@@ -334,8 +338,27 @@ def test_mask_and_list_field(spark):
         ("", ""),
     ],
 )
-def test_stems(word, found):
-    assert stem.stem(word) == found
+def test_stems(spark, word, found):
+    rows = spark.createDataFrame([(word,)], "word string")
+    assert stem.stem_table(rows).first()["stem"] == found == plain_stem.stem(word)
+
+
+def test_stems_of_many_words_match_the_plain_rules(spark):
+    """Every suffix behind bases of every shape, with and without a pronoun."""
+    suffixes = [*stem.STANDARD, *stem.VERBS, *stem.Y_VERBS, *stem.VERBS_AFTER_GU, *stem.RESIDUE, "ándo", "iéndo", "yendo", "e", "gue"]
+    bases = ["a", "de", "tor", "licit", "aplic", "segu", "constru", "oí", "ae", "ñu", "distrib", "pagu", "positiv", "caíd"]
+    words = {base + suffix + pronoun for base in bases for suffix in suffixes for pronoun in ("", "lo", "selas")}
+    rows = spark.createDataFrame([(word,) for word in words], "word string").repartition(8)
+    got = {row["word"]: row["stem"] for row in stem.stem_table(rows).collect()}
+    assert got == {word: plain_stem.stem(word) for word in words}
+
+
+def test_rankings_hold_no_python(spark, small_dir):
+    from noticeworks.plans import catalog
+
+    for name in ("lexical_topk", "title_terms", "query_terms", "recall_at_k", "rrf_fusion"):
+        plan = catalog.QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name
 
 
 def test_profile_reduces_to_its_published_number_of_terms(spark):
