@@ -9,6 +9,8 @@ from noticeworks.operators import costs, evaluation, verdicts
 from noticeworks.plans import views
 from noticeworks.plans.oracle_views import AS_OF_SQL, sql_case
 from noticeworks.plans.registry import query, stamp
+from noticeworks.session import shared_dir
+from noticeworks.streaming import stale
 
 _FOLD_SQL = "lower(strip_accents({}))"
 _WORDS_SQL = "regexp_extract_all(lower(strip_accents({})), '[a-z0-9]+')"
@@ -235,6 +237,28 @@ def stale_runs(spark, sf):
     return running.select("expediente", stale.alias("stale"))
 
 
+@query(
+    "stale_run_stream",
+    f"""
+SELECT expediente, 'failed' AS status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at
+FROM analyses_v, (SELECT greatest(max(updated_at), {AS_OF_SQL}) AS seen FROM analyses_v)
+WHERE status = 'in_progress' AND updated_at < seen - INTERVAL 900 SECOND""",
+)
+def stale_run_stream(spark, sf):
+    """The same rule over a stream: updates of all runs, a restart, then an update that moves the time on."""
+    root = shared_dir(spark, "stale")
+    updates = views.analyses(spark, sf).where("updated_at is not null").select("expediente", "status", "updated_at")
+    begun = updates.withColumn("status", F.lit("in_progress"))
+    ended = updates.where("status <> 'in_progress'").withColumn("updated_at", F.timestamp_add("SECOND", F.lit(60), "updated_at"))
+    seen = F.greatest(F.max("updated_at"), views.as_of()).alias("updated_at")
+    moved = updates.agg(seen).select(F.lit("tick").alias("expediente"), F.lit("completed").alias("status"), "updated_at")
+    for landed in (begun.unionByName(ended), moved):
+        landed.write.mode("append").parquet(f"{root}/updates")
+        stale.start_stale(spark, f"{root}/updates", f"{root}/failed", f"{root}/checkpoint").awaitTermination()
+    failed = spark.read.schema(stale.UPDATES).parquet(f"{root}/failed")
+    return failed.select("expediente", "status", stamp("updated_at"))
+
+
 @query(
     "completed_analyses",
     """

@@ -245,6 +245,28 @@ def feed_directory(spark: SparkSession, sf: str) -> str:
     return _WRITTEN[key]
 
 
+def land(entries: DataFrame, folder: str) -> None:
+    """Lands entries in a folder as feed files, one document per partition."""
+    entries.select("entry").mapInPandas(_as_document, "value string").write.mode("append").text(folder)
+
+
+def republished_directory(spark: SparkSession, sf: str) -> str:
+    """Folder with all entries as feed files, half of them a second time."""
+    folder, entries = shared_dir(spark, "republished"), entry_texts(spark, sf)
+    land(entries, folder)
+    land(entries.where(F.col("order_key") % 2 == 0), folder)
+    return folder
+
+
+def corrected_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """A second version of every entry: newer for odd keys, older for even ones, with another body's name."""
+    days = F.when(F.col("order_key") % 2 == 1, 1).otherwise(-1)
+    moved = F.date_format(F.timestamp_add("DAY", days, F.col("updated_at_source")), "yyyy-MM-dd'T'HH:mm:ss'.000+00:00'")
+    again = F.regexp_replace("entry", F.lit("<updated>[^<]*"), F.concat(F.lit("<updated>"), moved))
+    named = F.replace(again, F.lit("<cac:PartyName><cbc:Name>"), F.lit("<cac:PartyName><cbc:Name>Nueva "))
+    return entry_texts(spark, sf).withColumn("entry", named)
+
+
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     """Each order line as one publication of its notice."""
     return read_table(spark, sf, "lineitem").select(

@@ -379,6 +379,51 @@ def ingest_counts(spark, sf):
     return ingest.marks(spark, paths).select(*told, stamp("high_water_mark", "mark"))
 
 
+_COUNTED_SQL = "SELECT count(*) AS entries, count_if(len(reasons) > 0) AS refused FROM entries_v"
+
+
+def _numbers(spark, counts, *names):
+    """A row of numbers that a run reports."""
+    return spark.range(1).select(*[F.lit(counts[name]).cast("bigint").alias(name) for name in names])
+
+
+@query("ingest_republished", _COUNTED_SQL)
+def ingest_republished(spark, sf):
+    """Half of the entries come twice: what a run with bounded duplicate state writes."""
+    source = feed_views.republished_directory(spark, sf)
+    paths = ingest.IngestPaths.below(source, shared_dir(spark, "ingest"))
+    counts = ingest.run_ingest(spark, paths, buckets=8, repeated_within="1 hour")
+    return _numbers(spark, counts, "entries", "refused")
+
+
+@query("ingest_progress", _COUNTED_SQL)
+def ingest_progress(spark, sf):
+    """The numbers that a running stream tells batch by batch, summed."""
+    paths = ingest.IngestPaths.below(feed_views.feed_directory(spark, sf), shared_dir(spark, "ingest"))
+    told = []
+    ingest.run_ingest(spark, paths, buckets=8, max_files=1, tell=told.append)
+    counts = {name: sum(batch[name] for batch in told) for name in ("entries", "refused")}
+    return _numbers(spark, counts, "entries", "refused")
+
+
+@query(
+    "ingest_restart",
+    f"""
+SELECT expediente, CASE WHEN order_key % 2 = 1 THEN 'Nueva ' ELSE '' END || contracting_body AS contracting_body,
+       {_STAMP.format("updated + to_days(CAST(CASE WHEN order_key % 2 = 1 THEN 1 ELSE 0 END AS INT))")} AS updated_at_source
+FROM entries_v WHERE {_IN_SCOPE}""",
+)
+def ingest_restart(spark, sf):
+    """A stream that is started twice: late older versions change nothing, newer ones replace."""
+    source = shared_dir(spark, "landing")
+    paths = ingest.IngestPaths.below(source, shared_dir(spark, "ingest"))
+    # No mark holds the second run back: its late rows have to reach the merge.
+    for entries in (feed_views.entry_texts(spark, sf), feed_views.corrected_entries(spark, sf)):
+        feed_views.land(entries, source)
+        ingest.start_ingest(spark, paths, buckets=8).awaitTermination()
+    return ingest.read_tenders(spark, paths).select("expediente", "contracting_body", stamp("updated_at_source"))
+
+
 @query(
     "parse_extraction",
     """

@@ -5,50 +5,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from noticeworks.operators.verdicts import STALE_SECONDS
 
-OUTPUT = "expediente string, status string, updated_at timestamp"
-STATE = "status string, updated_at timestamp"
+UPDATES = "expediente string, status string, updated_at timestamp"
+STATE = "status string, due bigint"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Keeps the newest status of a key; a timeout of an open run reports it as failed."""
-    if state.hasTimedOut:
-        _, updated = state.get
-        state.remove()
+class OpenRuns(StatefulProcessor):
+    """Keeps the newest time of every open run and a timer for when it counts as abandoned.
+
+    A key without an open run has neither state nor timer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", STATE)
+
+    def _forget(self) -> None:
+        self.run.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.run.get() if self.run.exists() else None
+        status, due = held if held else (None, None)
+        for batch in rows:
+            newest = batch.loc[batch["updated_at"].idxmax()]
+            # The first millisecond at which the run has been idle for longer than it may be.
+            at = int(newest["updated_at"].timestamp() * 1000) + STALE_SECONDS * 1000 + 1
+            if due is None or at >= due:
+                status, due = newest["status"], at
+        if held:
+            self._forget()
+        if status == "in_progress":
+            self.run.update((status, due))
+            self.handle.registerTimer(due)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, due = self.run.get()
+        self.run.clear()
+        updated = pd.Timestamp(due - 1 - STALE_SECONDS * 1000, unit="ms")
         yield pd.DataFrame({"expediente": [key[0]], "status": ["failed"], "updated_at": [updated]})
-        return
-    status, updated = state.get if state.exists else (None, None)
-    for batch in batches:
-        newest = batch.loc[batch["updated_at"].idxmax()]
-        if updated is None or newest["updated_at"] >= pd.Timestamp(updated):
-            status, updated = newest["status"], newest["updated_at"]
-    if status != "in_progress":
-        if state.exists:
-            state.remove()
-        return
-    moment = pd.Timestamp(updated)
-    state.update((status, moment.to_pydatetime()))
-    due = int(moment.timestamp() * 1000) + STALE_SECONDS * 1000
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def stale_runs(updates: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     """A failed row for every run the event time has passed by more than the allowed idle time.
 
-    `updates` is a stream of (expediente, status, updated_at). The state holds
-    one small row per open run and is dropped when the run ends.
+    `updates` is a stream of (expediente, status, updated_at). The state holds one small row
+    and one timer per open run; both go when the run ends. The session's state store must be
+    the RocksDB one, see `start_stale`.
     """
     return (
         updates.withWatermark("updated_at", lateness)
         .groupBy("expediente")
-        .applyInPandasWithState(
-            _advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(OpenRuns(), UPDATES, "append", "eventTime")
     )
+
+
+def start_stale(spark: SparkSession, source: str, out: str, checkpoint: str, lateness: str = "0 seconds") -> StreamingQuery:
+    """Reads all updates that landed in a folder, writes the failed runs, and stops."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        updates = spark.readStream.schema(UPDATES).parquet(source)
+        failed = stale_runs(updates, lateness).withColumn("found_at", F.current_timestamp())
+        return (
+            failed.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)

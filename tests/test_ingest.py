@@ -437,24 +437,17 @@ def test_stale_stream_fails_abandoned_runs_only(spark, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
 
     def run():
-        updates = spark.readStream.schema(schema).parquet(str(folder))
-        query = (
-            stale.stale_runs(updates)
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-        return sorted((r["expediente"], r["status"]) for r in spark.read.schema(schema).parquet(out).collect())
-
-    land_updates("1", ("dead", "in_progress", 0), ("done", "in_progress", 0))
+        stale.start_stale(spark, str(folder), out, checkpoint).awaitTermination()
+        return sorted((r["expediente"], r["status"], r["updated_at"].second) for r in spark.read.schema(schema).parquet(out).collect())
+
+    land_updates("1", ("dead", "in_progress", 1), ("done", "in_progress", 0), ("again", "in_progress", 0))
     assert run() == []
-    land_updates("2", ("done", "completed", 100), ("tick", "completed", 800))
+    land_updates("2", ("done", "completed", 100), ("again", "in_progress", 700), ("tick", "completed", 901))
     assert run() == []
-    land_updates("3", ("tick", "completed", 2000))
-    run()
-    land_updates("4", ("tick", "completed", 2100))
-    assert run() == [("dead", "failed")]
+    # Exactly at the allowed time a run isn't abandoned yet, a moment later it is.
+    land_updates("3", ("tick", "completed", 902))
+    assert run() == [("dead", "failed", 1)]
+    land_updates("4", ("dead", "in_progress", 903), ("dead", "completed", 904))
+    assert run() == [("dead", "failed", 1)]
+    land_updates("5", ("tick", "completed", 5000))
+    assert run() == [("again", "failed", 40), ("dead", "failed", 1)]
