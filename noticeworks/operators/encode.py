@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,36 @@ def hashing_encoder(dimension: int = 64) -> Encoder:
     return encode
 
 
+#: From texts to a vector for each.
+Model = Callable[[list[str]], Sequence[Sequence[float]]]
+_MODELS: dict[str, Model] = {}
+
+
+def loaded(name: str, load: Callable[[], Model]) -> Model:
+    """The model of this name, loaded when this worker first needs it and kept for its later tasks."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def model_encoder(name: str, load: Callable[[], Model], batch: int = 256) -> Encoder:
+    """An encoder around a model that `load` brings into a Python worker.
+
+    The model sees `batch` texts at most at once; a null text is empty. `name` tells models apart.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded(name, load)
+        for texts in parts:
+            rows = texts.fillna("").tolist()
+            found = [vector for start in range(0, len(rows), batch) for vector in model(rows[start : start + batch])]
+            yield pd.Series([list(map(float, vector)) for vector in found], dtype=object)
+
+    return lambda text: encode(text.cast("string"))
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -327,21 +327,51 @@ _DIGIT = "(strpos('0123456789abcdef', substr(md5(w), {}, 1)) - 1)"
 _WORDS = f"list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda w: w <> '')"
 
 
-@query(
-    "backfill_vectors",
-    f"""
+_BACKFILL_SQL = f"""
 SELECT doc_id, list_transform(summed, lambda x: round(CAST(CAST(x / greatest(length, 1e-9) AS FLOAT) AS DOUBLE), 6)) AS embedding
 FROM (SELECT *, sqrt(list_sum(list_transform(summed, lambda x: x * x))) AS length
 FROM (SELECT doc_id, list_transform(range(0, 64), lambda d:
         coalesce(list_sum(list_transform(list_filter(words, lambda w: w[1] = d), lambda w: w[2])), 0)) AS summed
 FROM (SELECT doc_id, list_transform({_WORDS}, lambda w: [{_DIGIT.format(1)} * 4 + {_DIGIT.format(2)} // 4,
-        CASE WHEN {_DIGIT.format(3)} % 2 = 1 THEN 1 ELSE -1 END]) AS words FROM documents)))""",
-)
-def backfill_vectors(spark, sf):
+        CASE WHEN {_DIGIT.format(3)} % 2 = 1 THEN 1 ELSE -1 END]) AS words FROM documents)))"""
+
+
+def _backfilled(spark, sf, encoder):
     """Vectors for every document that has none yet; here, for all of them."""
     rows = read_table(spark, sf, "documents").select(
         "doc_id", "text", F.lit(None).cast("array<float>").alias("embedding")
     )
-    filled = encode.backfill_vectors(rows, "doc_id", "text", encode.hashing_encoder())
+    filled = encode.backfill_vectors(rows, "doc_id", "text", encoder)
     rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
     return filled.select("doc_id", rounded.alias("embedding"))
+
+
+@query("backfill_vectors", _BACKFILL_SQL)
+def backfill_vectors(spark, sf):
+    return _backfilled(spark, sf, encode.hashing_encoder())
+
+
+def _hashing_model():
+    """The hashing encoder as a model that a worker loads: texts in, vectors out."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    blank = re.compile("[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+    def vectors(texts):
+        out = np.zeros((len(texts), 64), np.float64)
+        for row, one in zip(out, texts):
+            for word in filter(None, blank.split(one.lower())):
+                digits = hashlib.md5(word.encode()).hexdigest()
+                row[int(digits[0], 16) * 4 + int(digits[1], 16) // 4] += 1 if int(digits[2], 16) % 2 else -1
+        return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-9)[:, None]
+
+    return vectors
+
+
+@query("backfill_vectors_model", _BACKFILL_SQL)
+def backfill_vectors_model(spark, sf):
+    """The same vectors from a model that every worker loads once."""
+    return _backfilled(spark, sf, encode.model_encoder("hashing", _hashing_model))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noticeworks import schemas
 from noticeworks.functions import codes, dates
-from noticeworks.operators import merge, reshape
+from noticeworks.operators import merge, pages, reshape
 from noticeworks.plans import feed_views, views
 from noticeworks.plans.oracle_views import VIEWS, sql_case
 from noticeworks.plans.registry import query, stamp
@@ -275,6 +275,26 @@ def scan_pages(spark, sf):
     )
 
 
+@query(
+    "page_order",
+    """
+SELECT 'p' || number AS page, 'p' || first_value(number) OVER (PARTITION BY chain ORDER BY number) AS first,
+       row_number() OVER (PARTITION BY chain ORDER BY number) - 1 AS position,
+       CASE WHEN found THEN NULL ELSE 'p' || (number + 1) END AS missing
+FROM (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (ORDER BY number) AS chain
+  FROM (SELECT number, lag(number) OVER (ORDER BY number) = number - 1 AS goes_on,
+               lead(number) OVER (ORDER BY number) = number + 1 AS found
+        FROM (SELECT DISTINCT order_key // 4 AS number FROM entries_v WHERE order_key // 4 % 11 <> 5)))""",
+)
+def page_order(spark, sf):
+    """Pages by their links, where every eleventh page has not landed."""
+    number = F.floor(F.col("order_key") / 4)
+    landed = feed_views.entry_texts(spark, sf).select(number.alias("number")).distinct().where("number % 11 <> 5")
+    named = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    links = landed.select(named(F.col("number")).alias("page"), named(F.col("number") + 1).alias("next_page"))
+    return pages.page_order(links)
+
+
 _ARCHIVED = """(SELECT *, order_key // 4000 AS page, 'page' || (order_key // 4000) || '.atom' AS member,
        'notices_' || strftime(updated_at_source, '%Y%m') || '.zip' AS path FROM entries_v)"""
 
