@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeworks.session import shared_dir, ship_package
 from noticeworks.sources.tables import read_table
 
+_BATCH_BYTES, _BATCH_BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 #: Input tables that only these operators read.
 TABLES = {"pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string"}
 
@@ -20,13 +22,27 @@ BLOCK_BYTES = 4 << 20
 
 
 def open_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """An input table, with this package handed to the Python workers."""
+    """An input table, with this package handed to the Python workers, in batches of bounded size."""
     ship_package(spark)
+    # Larger batches only cost memory here; a smaller setting of the caller's stays.
+    if spark.conf.get(_BATCH_BYTES) == _BATCH_BYTES_DEFAULT:
+        spark.conf.set(_BATCH_BYTES, BLOCK_BYTES)
     if name in TABLES:
         return spark.read.schema(TABLES[name]).parquet(f"{directory.rstrip('/')}/{name}.parquet")
     return read_table(spark, directory, name)
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes to differ from all columns of a table."""
+    taken = {column.lower() for column in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so that a lost executor costs no recomputation."""
     path = shared_dir(frame.sparkSession, label)

@@ -143,6 +143,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 1
     return float(np.clip(share_u[best] / share_p[best], 0.05, 0.98))
 
 
+def risk_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives by the margins of positives and unlabelled of the non-negative risk with sigmoid losses.
+
+    Where the estimated risk of negatives falls below zero, only that part is driven up again.
+    """
+    loss_p, loss_u = _sigmoid(p), _sigmoid(u)  # losses of the margins taken as negative
+    curve_p, curve_u = loss_p * (1 - loss_p) / len(p), loss_u * (1 - loss_u) / len(u)
+    if loss_u.mean() - prior * loss_p.mean() >= 0:
+        return -2 * prior * curve_p, curve_u
+    return prior * curve_p, -curve_u
+
+
 def learn(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 40, prior: float | None = None) -> Model:
     """Fits the network by the non-negative risk; estimates the prior unless it is given."""
     both = np.concatenate([positive, unlabelled])
@@ -151,11 +163,7 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 40, prior:
     prior = estimate_prior(positive, unlabelled) if prior is None else prior
 
     def slopes(p, u):
-        loss_p, loss_u = _sigmoid(p), _sigmoid(u)  # sigmoid losses of the margins taken as negative
-        curve_p, curve_u = loss_p * (1 - loss_p) / len(p), loss_u * (1 - loss_u) / len(u)
-        if loss_u.mean() - prior * loss_p.mean() >= 0:
-            return -2 * prior * curve_p, curve_u
-        return prior * curve_p, -curve_u
+        return risk_slopes(p, u, prior)
 
     return Model(centre, scale, _train(positive, unlabelled, slopes, 11, rounds), prior)
 

@@ -3,9 +3,11 @@
 A feature is the presence of a character n-gram (of the lower-cased text, hashed into
 `BUCKETS`). Its naive Bayes log-count ratio is the logarithm of how much more often toxic
 texts hold it than others. Presence times ratio goes into a logistic regression. The
-model is fitted on at most `SAMPLE_ROWS` labelled texts: their n-grams are counted by a
-Spark aggregation, the `FEATURES` most telling ones are kept, and the regression runs on
-those. Every whole text is scored where it lies, without a shuffle.
+model is fitted on at most `SAMPLE_ROWS` labelled texts, the rarer class first: their
+n-grams are counted by a Spark aggregation, the `FEATURES` most telling ones are kept, and
+the regression runs on those; its bias is then set back to the shares that the classes have
+among all labels. Every whole text is scored where it lies, without a shuffle, in windows
+of bounded size.
 
 Defined cases: a null or empty text holds no n-gram and gets the score of the bias alone;
 repeated rows are scored each by itself; without labels of both classes every score is the
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.llm.common import blocks, list_values, lists, texts
-from noticeworks.llm.labelled import at_most, fold, label_rows
+from noticeworks.llm.labelled import at_most_by_class, fold, label_rows
 
 #: Labelled texts at most that the model is fitted on.
 SAMPLE_ROWS = 16_000
@@ -33,11 +35,13 @@ ORDERS = (3, 4, 5)
 BITS = 20
 BUCKETS = 1 << BITS
 FOLDS, HELD_OUT = 5, 0
-#: An n-gram must occur in this many texts of the sample.
-LEAST_TEXTS = 10
+#: An n-gram that occurs in one or two texts of the sample tells of these texts only.
+LEAST_TEXTS = 3
 #: Weight of the quadratic penalty.
 PENALTY = 1e-4
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at once, and characters that are hashed at once.
+BLOCK = 1 << 19
+WINDOW = 1 << 17
 
 
 @dataclass
@@ -47,14 +51,32 @@ class Model:
     bias: float
 
 
-def grams(rows: list[bytes]):
-    """For each order: the row and the bucket of every character n-gram.
+def windows(rows: list[bytes]):
+    """Rows and texts of pieces, about `WINDOW` characters at once.
 
-    A mark ends each text, so the last n-grams of a text differ from the same inside it.
+    A mark ends each text, so the last n-grams of a text differ from the same inside it. A
+    long text is cut into pieces that share the n-grams across the cut.
     """
-    lowered = [row.decode("utf-8").lower() for row in rows]
-    codes = np.frombuffer(("\0".join(lowered) + "\0").encode("utf-32-le"), "<u4").astype(np.uint64)
-    row = np.repeat(np.arange(len(rows), dtype=np.int64), [len(text) + 1 for text in lowered])
+    owner, pieces, held = [], [], 0
+    for row, text in enumerate(rows):
+        lowered = text.decode("utf-8").lower() + "\0"
+        for start in range(0, len(lowered), WINDOW):
+            piece = lowered[start : start + WINDOW + max(ORDERS) - 1]
+            owner.append(row)
+            pieces.append(piece)
+            held += len(piece)
+            if held >= WINDOW:
+                yield owner, pieces
+                owner, pieces, held = [], [], 0
+    if pieces:
+        yield owner, pieces
+
+
+def grams(owner: list[int], pieces: list[str]):
+    """For each order: the row and the bucket of every character n-gram of some pieces."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.uint64)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), list(map(len, pieces)))
+    row = np.array(owner, np.int32)[piece]
     mixed = codes * np.uint64(0x9E3779B97F4A7C15)
     for order in range(2, max(ORDERS) + 1):
         if len(codes) < order:
@@ -63,23 +85,25 @@ def grams(rows: list[bytes]):
             0xBF58476D1CE4E5B9
         )
         if order in ORDERS:
-            whole = row[: len(mixed)] == row[order - 1 :]
-            yield row[: len(mixed)], (mixed >> np.uint64(64 - BITS)).astype(np.int64), whole
+            whole = piece[: len(mixed)] == piece[order - 1 :]
+            yield row[: len(mixed)][whole], (mixed >> np.uint64(64 - BITS)).astype(np.int32)[whole]
 
 
-def present(rows: list[bytes], feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row and feature, each once; `feature` gives a bucket's feature or -1."""
+def present(rows: list[bytes], feature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row and feature, each once; `feature` gives a bucket's feature or -1, else buckets are features."""
     pairs = [np.zeros(0, np.int64)]
-    for row, bucket, whole in grams(rows):
-        number = feature[bucket]
-        hit = np.flatnonzero(whole & (number >= 0))
-        pairs.append(row[hit] << 32 | number[hit])
+    for owner, pieces in windows(rows):
+        for row, number in grams(owner, pieces):
+            if feature is not None:
+                number = feature[number]
+                row, number = row[number >= 0], number[number >= 0]
+            pairs.append(np.unique(row.astype(np.int64) << 32 | number))
     found = np.unique(np.concatenate(pairs))
     return found >> 32, found & 0xFFFFFFFF
 
 
 def feature_table(buckets: np.ndarray) -> np.ndarray:
-    table = np.full(BUCKETS, -1, np.int64)
+    table = np.full(BUCKETS, -1, np.int32)
     table[buckets] = np.arange(len(buckets))
     return table
 
@@ -88,17 +112,14 @@ def count_grams(sample: DataFrame) -> DataFrame:
     """bucket, toxic, clean: in how many texts of each class a bucket occurs."""
 
     def run(batches):
-        everything = np.arange(BUCKETS)
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((2, BUCKETS), np.int32)
         for block in blocks(batches, "text", BLOCK):
             labels = block.column(1).to_numpy(zero_copy_only=False)
-            row, bucket = present(texts(block.column(0)), everything)
-            for label in (0, 1):
-                counts[label] += np.bincount(bucket[labels[row] == label], minlength=BUCKETS)
+            for label, text in zip(labels.tolist(), texts(block.column(0))):
+                counts[label, present([text])[1]] += 1
         seen = np.flatnonzero(counts.any(axis=0))
-        yield pa.record_batch(
-            [pa.array(seen), pa.array(counts[1, seen]), pa.array(counts[0, seen])], names=["bucket", "toxic", "clean"]
-        )
+        columns = [seen, counts[1, seen].astype(np.int64), counts[0, seen].astype(np.int64)]
+        yield pa.record_batch(list(map(pa.array, columns)), names=["bucket", "toxic", "clean"])
 
     parts = sample.select("text", "label").mapInArrow(run, "bucket bigint, toxic bigint, clean bigint")
     return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -123,8 +144,8 @@ def regression(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, labels:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most `rows` labelled texts; only counts of `FEATURES` n-grams and the
     presence of these in the sample reach the driver."""
-    chosen = F.broadcast(at_most(label_rows(labels, "toxic", FOLDS, HELD_OUT), rows, seed=2))
-    sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "label")
+    chosen, drawn = at_most_by_class(label_rows(labels, "toxic", FOLDS, HELD_OUT), rows, seed=2)
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     sizes = {row.label: row.n for row in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -162,7 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     weights, bias = regression(place[row], feature, ratio, known[order])
-    return Model(buckets, weights * ratio, bias)
+    return Model(buckets, weights * ratio, bias + float(np.log(drawn[0] / drawn[1])))
 
 
 def scorer(model: Model):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from noticeworks.llm import multi_index, packing, pu_quality, queries, toxicity
+from noticeworks.llm import labelled, multi_index, packing, pu_quality, queries, toxicity
 from noticeworks.llm.common import open_table
 
 WORDS = P.path(queries.WORD_VOCABULARY)
@@ -89,7 +89,6 @@ def test_models_without_labels_and_on_odd_texts(spark, corpus, odd, none):
 def check_packing(rows, texts, capacity=4096):
     """Every piece once, by the library's ids, in sequences without gaps or overflow."""
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     expected = []
     for doc_id, text in texts:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
@@ -182,3 +181,69 @@ def test_walk_takes_cells_in_order_of_distance():
         distance = (one[:, None] + two[None, :]).ravel()
         assert sorted(cells) == np.flatnonzero(sizes).tolist()
         assert np.all(np.diff(distance[cells]) >= 0)
+
+
+def test_toxicity_scores_match_plain_loops(corpus):
+    """The fitted model's scores, summed gram by gram over sets of plain Python strings."""
+    documents, labels, rows = corpus
+    model = toxicity.fit(documents, labels)
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+
+    def bucket(gram):
+        """The hash of one n-gram in plain integers of 64 bits."""
+        most = (1 << 64) - 1
+        mixed = ord(gram[0]) * 0x9E3779B97F4A7C15 & most
+        for letter in gram[1:]:
+            mixed = (mixed ^ (mixed >> 29) ^ ord(letter)) * 0xBF58476D1CE4E5B9 & most
+        return mixed >> 64 - toxicity.BITS
+
+    known = {}
+    expected = {}
+    for doc_id, text, *_ in rows[:300]:
+        whole = text.lower() + "\0"
+        found = {whole[i : i + n] for n in toxicity.ORDERS for i in range(len(whole) - n + 1)}
+        held = {known.setdefault(gram, bucket(gram)) for gram in found}
+        expected[doc_id] = 1 / (1 + np.exp(-sum(weights.get(b, 0.0) for b in held) - model.bias))
+    got = {row.doc_id: row.score for row in toxicity.scored(documents.where("doc_id < 300"), model).collect()}
+    assert got == pytest.approx(expected, abs=1e-9)
+
+
+@pytest.mark.parametrize("window", [7, 64])
+def test_windows_lose_no_gram(monkeypatch, window):
+    texts = [b"", b"ab", "Größe und Maß".encode(), b"x" * 500, b"the quick brown fox " * 30]
+    whole = [row.tolist() for row in toxicity.present(texts)]
+    monkeypatch.setattr(toxicity, "WINDOW", window)
+    assert [row.tolist() for row in toxicity.present(texts)] == whole
+
+
+def test_a_rare_class_is_drawn_whole_and_its_share_kept(spark, corpus):
+    documents, labels, _ = corpus
+    model = toxicity.fit(documents, labels, rows=600)
+    rows = toxicity.scored(documents, model).collect()
+    assert np.mean([row.predicted == (row.doc_id % 8 == 0) for row in rows if row.held_out]) > 0.98
+    drawn, shares = labelled.at_most_by_class(labelled.label_rows(labels, "toxic", 5, 0), 600, seed=2)
+    sizes = {row.label: row["count"] for row in drawn.groupBy("label").count().collect()}
+    assert shares[1] == 1.0 and shares[0] < 0.6 and 500 < sum(sizes.values()) <= 600
+    assert sizes[1] == labels.where("toxic = 1").count() - labels.where("toxic = 1 and crc32(cast(doc_id as string)) % 5 = 0").count()
+
+
+def test_risk_gradient_matches_differences():
+    """The slopes that training follows are the derivatives of the non-negative risk."""
+    dice = np.random.default_rng(9)
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):
+        p, u = dice.normal(shift, 1, 7), dice.normal(-shift, 1, 11)
+        slopes = pu_quality.risk_slopes(p, u, prior)
+
+        def risk(p, u):
+            positive, rest = 1 / (1 + np.exp(p)), 1 / (1 + np.exp(-u))
+            negative = rest.mean() - prior * (1 / (1 + np.exp(-p))).mean()
+            return prior * positive.mean() + negative if negative >= 0 else -negative
+
+        for part, slope in zip((p, u), slopes):
+            for place in range(len(part)):
+                part[place] += 1e-6
+                above = risk(p, u)
+                part[place] -= 2e-6
+                below = risk(p, u)
+                part[place] += 1e-6
+                assert slope[place] == pytest.approx((above - below) / 2e-6, abs=1e-6)
