@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import blocks, texts
+from noticeworks.llm.common import blocks, free_names, texts
 from noticeworks.session import shared_dir
 
 #: Copies of a finding for the join back, so that a blob with very many documents is spread.
@@ -221,14 +221,15 @@ def redact(documents: DataFrame, rules=RULES, ledger: str | None = None, marker:
     ledger = ledger or shared_dir(documents.sparkSession, "secret-ledger")
     update(documents, ledger, rules)
     spark = documents.sparkSession
+    blob, salt, spans = free_names(documents, "blob", "salt", "spans")
     found = (
         read_ledger(spark, ledger)
         .where(F.size("findings") > 0)
-        .select(F.col("blob").alias("_blob"), F.explode("findings").alias("_span"))
-        .where(F.col("_span.rule").isin([rule.key for rule in rules]))
-        .groupBy("_blob")
-        .agg(F.sort_array(F.collect_list(F.struct("_span.start", "_span.end"))).alias("_spans"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .select(F.col("blob").alias(blob), F.explode("findings").alias("span"))
+        .where(F.col("span.rule").isin([rule.key for rule in rules]))
+        .groupBy(blob)
+        .agg(F.sort_array(F.collect_list(F.struct("span.start", "span.end"))).alias(spans))
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
 
     @F.pandas_udf("string")
@@ -245,11 +246,10 @@ def redact(documents: DataFrame, rules=RULES, ledger: str | None = None, marker:
             out.append(one)
         return pd.Series(out, dtype=object)
 
-    names = documents.columns
-    keyed = documents.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    keyed = documents.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn(
+        salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     )
-    joined = keyed.join(found, ["_blob", "_salt"], "left")
-    starts, ends = F.col("_spans.start"), F.col("_spans.end")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced("text", starts, ends))
-    return joined.withColumn("text", clean).select(*names)
+    joined = keyed.join(found, [blob, salt], "left")
+    starts, ends = F.col(f"{spans}.start"), F.col(f"{spans}.end")
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(replaced("text", starts, ends))
+    return joined.withColumn("text", clean).select(*documents.columns)
