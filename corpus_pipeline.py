@@ -3,6 +3,16 @@
 Toxic documents go, then those that a quality rule rejects; one document of each group of
 near duplicates stays; secrets are replaced by a marker; what is left is packed into
 sequences of tokens. The first four return the columns of `documents`.
+
+Defined cases, in every stage: a null text is an empty one for scores, rules, shingles,
+secrets and tokens, and stays null where its row is kept; it and an empty or blank text are
+rejected by the quality rules, and where a stage runs by itself they belong to no group of
+near duplicates and pack to their end token. Rows with a null doc_id are judged like others,
+belong to no group of near duplicates, and stay. Rows that share a doc_id are told apart by
+their text; repeated rows are one group. Texts of any length are worked on whole. Extra
+columns, whatever their names, are kept by the first four stages and ignored by the last. A
+null lang, source, n_chars or label changes nothing. Without labels nothing is called toxic.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
