@@ -1,7 +1,9 @@
 """Extraction JSON: closed-schema parsing and the rewrite between its two stored shapes.
 
-A text is taken apart once into its blocks, each still as text; whatever needs
-a closer look is then parsed from its own block.
+For the rewrite a text is taken apart once into its blocks, each still as text; whatever
+needs a closer look is then parsed from its own block. For parsing, the typed value comes
+from one reading of the text, and the shape is checked on a variant, which is parsed once
+and then only looked into.
 """
 
 from __future__ import annotations
@@ -31,28 +33,34 @@ def _same_keys(keys: Column, kind: T.StructType) -> Column:
     return F.sort_array(keys) == F.array(*[F.lit(n) for n in sorted(kind.fieldNames())])
 
 
+_MEMBERS = "map<string,variant>"
+
+
+def _members(value: Column, path: str = "$", kind: str = _MEMBERS) -> Column:
+    """The members of the object at a path of a variant; null if there is no object."""
+    return F.try_variant_get(value, path, kind)
+
+
 def _closed_object(members: Column, kind: T.StructType) -> Column:
-    """Whether a map of member texts has exactly the keys of a schema, citations included."""
+    """Whether the members of an object have exactly the keys of a schema, citations included."""
     found = [_same_keys(F.map_keys(members), kind)]
     for field in kind.fields:
         member = F.try_element_at(members, F.lit(field.name))
         if isinstance(field.dataType, T.StructType):
-            keys = F.json_object_keys(member)
-            found.append(F.coalesce(_same_keys(keys, field.dataType), F.lit(True)))
+            found.append(F.coalesce(_same_keys(F.map_keys(_members(member)), field.dataType), F.lit(True)))
         elif isinstance(field.dataType, T.ArrayType):
-            found.append(_closed_items(member, field.dataType.elementType))
+            found.append(_closed_items(_members(member, kind=f"array<{_MEMBERS}>"), field.dataType.elementType))
     return reduce(lambda a, b: a & b, found)
 
 
 def _closed_items(items: Column, kind: T.StructType) -> Column:
-    parsed = F.from_json(items, "array<map<string,string>>")
-    return F.coalesce(F.forall(parsed, lambda m: _closed_object(m, kind)), F.lit(True))
+    return F.coalesce(F.forall(items, lambda m: _closed_object(m, kind)), F.lit(True))
 
 
 def parse_extraction(rows: DataFrame, column: str = "extraction_json") -> DataFrame:
     """Typed extraction of a JSON text, or why it is refused.
 
-    Refused are texts that are no JSON or hold a value of a wrong type
+    Refused are texts that are no JSON, name a key twice or hold a value of a wrong type
     ("malformed"), and objects with a missing or an unknown key ("keys").
     """
     corrupt = "_corrupt_record"
@@ -60,27 +68,24 @@ def parse_extraction(rows: DataFrame, column: str = "extraction_json") -> DataFr
     parsed = rows.withColumn(
         "parsed",
         F.from_json(column, reading, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}),
-    ).withColumn("members", F.from_json(column, "map<string,string>"))
+    ).withColumn("shape", F.try_parse_json(F.col(column)))
     objects = [n for n in _BLOCKS if isinstance(schemas.EXTRACTION[n].dataType, T.StructType)]
     for name in objects:
-        member = F.try_element_at("members", F.lit(name))
-        parsed = parsed.withColumn(f"m_{name}", F.from_json(member, "map<string,string>"))
+        parsed = parsed.withColumn(f"m_{name}", _members(F.col("shape"), f"$.{name}"))
     conditions = [
-        _same_keys(F.map_keys("members"), schemas.EXTRACTION),
+        _same_keys(F.map_keys(_members(F.col("shape"))), schemas.EXTRACTION),
         *[_closed_object(F.col(f"m_{n}"), schemas.EXTRACTION[n].dataType) for n in objects],
-        _closed_items(
-            F.try_element_at("members", F.lit("certifications")), schemas.CERTIFICATION
-        ),
+        _closed_items(_members(F.col("shape"), "$.certifications", f"array<{_MEMBERS}>"), schemas.CERTIFICATION),
     ]
     closed = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for c in conditions])
     refusal = F.when(
-        F.col("parsed").isNull() | F.col(f"parsed.{corrupt}").isNotNull(), "malformed"
+        F.col("parsed").isNull() | F.col("shape").isNull() | F.col(f"parsed.{corrupt}").isNotNull(), "malformed"
     ).when(~closed, "keys")
     blocks = F.struct(*[F.col(f"parsed.{n}").alias(n) for n in _BLOCKS])
     return (
         parsed.withColumn("refusal", refusal)
         .withColumn("extraction", F.when(F.col("refusal").isNull(), blocks))
-        .drop("parsed", "members", *[f"m_{n}" for n in objects])
+        .drop("parsed", "shape", *[f"m_{n}" for n in objects])
     )
 
 

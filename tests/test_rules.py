@@ -377,3 +377,41 @@ def test_inflected_title_matches(spark):
     tender = spark.createDataFrame([("t", "Desarrollo de aplicación web")], "expediente string, title string")
     terms = {r["term"] for r in operator_ranking.title_terms(tender).collect()}
     assert terms == {"desarroll", "aplic", "web"}
+
+
+def test_shape_of_stored_json(spark, small_dir):
+    """A valid text and what becomes of it with a key too many, too few, twice, or of a wrong kind."""
+    import json
+
+    from noticeworks.operators import reshape
+    from noticeworks.plans import feed_views
+
+    texts = reshape.parse_extraction(feed_views.extraction_texts(spark, small_dir)).where(
+        "refusal is null and size(extraction.certifications) > 0"
+    )
+    whole = json.loads(texts.first()["extraction_json"])
+
+    def changed(change):
+        copy = json.loads(json.dumps(whole))
+        change(copy)
+        return json.dumps(copy)
+
+    block = "economic_solvency"
+    cases = {
+        "valid": (json.dumps(whole), None),
+        "unknown": (changed(lambda d: d.update(other=1)), "keys"),
+        "unknown in a block": (changed(lambda d: d[block].update(other=None)), "keys"),
+        "unknown in an item": (changed(lambda d: d["certifications"][0].update(other=None)), "keys"),
+        "missing": (changed(lambda d: d.pop(block)), "keys"),
+        "missing in a block": (changed(lambda d: d[block].popitem()), "keys"),
+        "null block": (changed(lambda d: d.update({block: None})), None),
+        "no items": (changed(lambda d: d.update(certifications=[])), None),
+        "twice": (json.dumps(whole)[:-1] + f', "{block}": null}}', "malformed"),
+        "wrong kind": (changed(lambda d: d.update(certifications="ISO")), "malformed"),
+        "cut": (json.dumps(whole)[:-5], "malformed"),
+        "list": ("[1, 2]", "malformed"),
+        "null": (None, "malformed"),
+    }
+    rows = spark.createDataFrame([(name, text) for name, (text, _) in cases.items()], "name string, extraction_json string")
+    got = {row["name"]: row["refusal"] for row in reshape.parse_extraction(rows).collect()}
+    assert got == {name: refusal for name, (_, refusal) in cases.items()}
