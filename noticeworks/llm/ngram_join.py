@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import blocks, lists, stored, texts
+from noticeworks.llm.common import blocks, free_names, list_values, lists, stored, texts
 from noticeworks.llm.components import components
 
 WIDTH = 5
@@ -52,7 +52,9 @@ FREQUENT = 64
 SHORT_LIST = 16
 BLOCK_DOCUMENTS = 512
 #: Leaders that every document of a list is compared with before what is left is compared in full.
-ROUNDS = 2
+ROUNDS = 1
+#: Entries of the table that orders shingles for prefixes.
+COUNTED_BUCKETS = 1 << 20
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 30:
@@ -378,34 +380,62 @@ def deletion_rows(sets: DataFrame, short: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tokens", "scheme", "dear").mapInArrow(run, "sig bigint, doc_id bigint, size bigint")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each of a fixed number of buckets stand: a table of fixed size."""
+    bucket = F.pmod("token", F.lit(COUNTED_BUCKETS)).cast("int")
+    rows = sets.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = rows.toArrow()
+    counts = np.zeros(COUNTED_BUCKETS, np.int32)
+    counts[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return counts
+
+
 def prefix_rows(sets: DataFrame) -> DataFrame:
-    """(sig, doc_id, size): the rarest shingles of each set, one more than a linked pair may lack.
+    """(sig, doc_id, size, hard): the rarest shingles of each set, one more than a linked pair may lack.
 
-    Only shingles that some set marked `hard` has in its prefix: other pairs meet elsewhere.
+    Two sets that lack no more than that of each other share a shingle of both prefixes under
+    any order that is the same for all sets. Here it is the count of the shingle's bucket, then
+    the shingle's hash, so the order needs no count for each shingle.
     """
-    rows = sets.select("uid", "doc_id", "hard", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("sig"))
-    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
-    # A document with several texts has a prefix for each.
-    rarest = Window.partitionBy("uid").orderBy("documents", "sig")
-    # A shingle of one document joins nothing, but it takes a place in the prefix.
-    ranked = rows.join(counts, "sig", "left").withColumn("documents", F.coalesce("documents", F.lit(1)))
-    reach = F.expr(f"size - (size * {PERCENT} + 99) div 100 + 1")
-    prefixes = ranked.withColumn("rank", F.row_number().over(rarest)).where(
-        (F.col("rank") <= reach) & (F.col("documents") > 1)
-    )
-    prefixes = stored(prefixes.select("sig", "doc_id", "size", "hard"), "ngram-prefixes")
-    useful = prefixes.where("hard").select("sig").distinct()
-    return prefixes.join(useful, "sig", "left_semi").select("sig", "doc_id", "size")
+    counts = shingle_counts(sets)
+
+    def run(batches):
+        for batch in batches:
+            tokens, offsets = list_values(batch.column(1))
+            sig, lengths = [], []
+            for a, b in zip(offsets, offsets[1:]):
+                own, size = tokens[a:b], int(b - a)
+                reach = size - (size * PERCENT + 99) // 100 + 1
+                count = counts[own % COUNTED_BUCKETS]
+                prefix = np.lexsort((own, count))[:reach]
+                # A shingle whose bucket holds nothing else joins nothing, but it takes a place in the prefix.
+                prefix = prefix[count[prefix] > 1]
+                sig.append(own[prefix])
+                lengths.append(len(prefix))
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            columns = [
+                pa.array(np.concatenate([np.zeros(0, np.int64), *sig])),
+                batch.column(0).take(pa.array(owner)),
+                pa.array(np.diff(offsets)[owner]),
+                batch.column(2).take(pa.array(owner)),
+            ]
+            yield pa.record_batch(columns, names=["sig", "doc_id", "size", "useful"])
+
+    return sets.select("doc_id", "tokens", "hard").mapInArrow(run, "sig bigint, doc_id bigint, size bigint, useful boolean")
 
 
 def distinct_lists(rows: DataFrame) -> DataFrame:
-    """(list, doc_id, size) from (sig, doc_id, size): of signatures with the same rows one is kept, single ones go."""
-    rows = rows.distinct()
+    """(list, doc_id, size) from (sig, doc_id, size, useful): of signatures with the same rows one is kept; single
+    ones go, and those without a useful row."""
+    rows = rows.groupBy("sig", "doc_id", "size").agg(F.bool_or("useful").alias("useful"))
     number = F.xxhash64("doc_id", "size", F.lit(21)).cast("decimal(38,0)")
     marks = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(number).alias("sum"), F.bit_xor(F.xxhash64("doc_id", "size", F.lit(22))).alias("xor")
+        F.count(F.lit(1)).alias("n"),
+        F.sum(number).alias("sum"),
+        F.bit_xor(F.xxhash64("doc_id", "size", F.lit(22))).alias("xor"),
+        F.bool_or("useful").alias("useful"),
     )
-    kept = marks.where("n > 1").groupBy("n", "sum", "xor").agg(F.min("sig").alias("sig")).select("sig")
+    kept = marks.where("n > 1 and useful").groupBy("n", "sum", "xor").agg(F.min("sig").alias("sig")).select("sig")
     return rows.join(kept, "sig").select(F.col("sig").alias("list"), "doc_id", "size")
 
 
@@ -513,7 +543,7 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     `members` is (list, doc_id, size). Each round compares every document with one leader
     of its list from another component; what is then still apart is compared in full.
     """
-    tested, found = None, stored(components(links, "components"), "components")
+    tested, found = None, components(links, "components")
     for turn in range(ROUNDS + 1):
         placed = (
             members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -558,7 +588,7 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         if not new.isEmpty():
             # What is known already hangs under its component; only new links change that.
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = stored(components(known.unionByName(new), f"components-{turn}"), f"components-{turn}")
+            found = components(known.unionByName(new), f"components-{turn}")
     return found
 
 
@@ -580,8 +610,6 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     hard = short.groupBy("doc_id").agg(F.max("hard").alias("hard"))
     wanted = cheap.select("doc_id").unionByName(hard.select("doc_id")).distinct()
     sets = distinct_sets(sets_of(documents, wanted))
-    deleted = distinct_lists(deletion_rows(sets, short))
-    prefixes = distinct_lists(prefix_rows(sets.join(hard, "doc_id")))
     # Equal sets are one from here on: their first document stands for all that have no other set.
     first = sets.groupBy("size", "mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     equal = stored(
@@ -590,13 +618,15 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
         ),
         "ngram-equal",
     )
-    members = (
-        cheap.withColumn("by", F.lit(0)).unionByName(deleted.withColumn("by", F.lit(1))).unionByName(prefixes.withColumn("by", F.lit(2)))
-        .select(F.xxhash64("by", "list").alias("list"), "doc_id", "size")
-    )
     several = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = members.join(equal.join(several, "doc_id", "left_anti"), "doc_id", "left").select(
-        F.col("list").alias("sig"), F.coalesce("first", "doc_id").alias("doc_id"), "size"
+    stands_for = equal.where("doc_id <> first").join(several, "doc_id", "left_anti")
+    shortened = sets.join(hard, "doc_id").join(stands_for, "doc_id", "left_anti")
+    listed = cheap.join(stands_for, "doc_id", "left").select("list", F.coalesce("first", "doc_id").alias("doc_id"), "size")
+    yes = F.lit(True).alias("useful")
+    members = (
+        listed.select(F.xxhash64(F.lit(0), "list").alias("sig"), "doc_id", "size", yes)
+        .unionByName(deletion_rows(shortened, short).select(F.xxhash64(F.lit(1), "sig").alias("sig"), "doc_id", "size", yes))
+        .unionByName(prefix_rows(shortened).select(F.xxhash64(F.lit(2), "sig").alias("sig"), "doc_id", "size", "useful"))
     )
     members = stored(distinct_lists(members), "ngram-members")
     copies = found.where("kind = 'copy'").select(F.col("sig").alias("a"), F.col("doc_id").alias("b"))
@@ -608,14 +638,15 @@ def near_duplicates(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame
     )
 
 
-def with_node(documents: DataFrame) -> DataFrame:
-    """Adds `_node`: the doc_id, or where several rows have it, a 64-bit hash of doc_id and text."""
-    several = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null")
+def with_node(documents: DataFrame, node: str) -> DataFrame:
+    """Adds a column `node`: the doc_id, or where several rows have it, a 64-bit hash of doc_id and text."""
+    (n,) = free_names(documents, "n")
+    several = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)).where((F.col(n) > 1) & F.col("doc_id").isNotNull())
     several = stored(several, "ngram-several")
     text = F.coalesce("text", F.lit(""))
     text = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
-    node = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", text))
-    return documents.join(several, "doc_id", "left").select(*documents.columns, node.alias("_node"))
+    value = F.when(F.col(n).isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", text))
+    return documents.join(several, "doc_id", "left").select(*documents.columns, value.alias(node))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -624,13 +655,14 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Rows with a null doc_id belong to no group and stay. Rows with equal doc_id are grouped
     each by its text: one of them goes only if another of its group stays.
     """
-    rows = with_node(documents.where("doc_id is not null"))
-    groups = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("_node"), F.col("component_id").alias("_group")
+    node, number = free_names(documents, "node", "number")
+    rows = with_node(documents.where("doc_id is not null"), node)
+    groups = near_duplicates(rows.select(F.col(node).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("node"), F.col("component_id").alias("component")
     )
-    owners = rows.select("_node", "doc_id").distinct()
-    smallest = groups.distinct().join(owners, "_node").groupBy("_group").agg(F.min(F.struct("doc_id", "_node")).alias("_kept"))
-    row = F.row_number().over(Window.partitionBy("_node").orderBy("text"))
-    kept = rows.join(smallest.select(F.col("_kept._node").alias("_node")), "_node", "left_semi")
-    first = kept.withColumn("_row", row).where("_row = 1").select(*documents.columns)
+    owners = rows.select(F.col(node).alias("node"), "doc_id").distinct()
+    smallest = groups.distinct().join(owners, "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("kept"))
+    row = F.row_number().over(Window.partitionBy(node).orderBy("text"))
+    kept = rows.join(smallest.select(F.col("kept.node").alias(node)), node, "left_semi")
+    first = kept.withColumn(number, row).where(F.col(number) == 1).select(*documents.columns)
     return first.unionByName(documents.where("doc_id is null"))

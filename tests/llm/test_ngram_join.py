@@ -128,7 +128,39 @@ def test_linked_pairs_agree_on_enough_segments():
 def test_long_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950), (7000, 7000)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "chain").collect())
-    assert got == {i: 0 for i in range(201)} | {1000: 900, 900: 900, 950: 900, 7000: 7000}
+    assert got == {i: 0 for i in range(1, 201)} | {1000: 900, 950: 900}
+
+
+def test_components_of_random_graphs(spark):
+    dice = np.random.default_rng(6)
+    for nodes, count in ((40, 25), (60, 200), (300, 250)):
+        edges = [(int(a), int(b)) for a, b in dice.integers(0, nodes, (count, 2))]
+        smallest = list(range(nodes))
+        for _ in range(nodes):
+            for a, b in edges:
+                smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+        got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "random").collect())
+        assert got == {node: least for node, least in enumerate(smallest) if least != node}
+
+
+def test_prefixes_meet_under_any_order(spark, monkeypatch):
+    """Linked sets share a shingle of both prefixes, also where many shingles fall into one bucket."""
+    dice = np.random.default_rng(3)
+    rows, pairs = [], []
+    for number in range(0, 400, 2):
+        one = np.unique(dice.integers(-(1 << 62), 1 << 62, dice.integers(1, 60)))
+        other = np.unique(np.append(dice.permutation(one)[: max(1, len(one) * 9 // 10)], dice.integers(0, 1 << 62, len(one) // 12)))
+        common = len(np.intersect1d(one, other))
+        if 100 * common >= 80 * (len(one) + len(other) - common):
+            pairs.append((number, number + 1))
+        rows += [(number, one.tolist(), True), (number + 1, other.tolist(), False)]
+    sets = spark.createDataFrame(rows, "doc_id bigint, tokens array<bigint>, hard boolean")
+    for buckets in (1, 64, 1 << 20):
+        monkeypatch.setattr(ngram_join, "COUNTED_BUCKETS", buckets)
+        found = {}
+        for row in ngram_join.prefix_rows(sets).collect():
+            found.setdefault(row.doc_id, set()).add(row.sig)
+        assert len(pairs) > 50 and all(found[a] & found[b] for a, b in pairs)
 
 
 def test_parities_never_differ_in_more_places_than_the_sets():
@@ -177,7 +209,8 @@ def test_documents_with_several_texts(spark):
 
 def test_lists_of_the_same_documents_keep_their_sizes(spark):
     rows = [("x", 1, 10), ("x", 2, 13), ("y", 1, 90), ("y", 2, 90), ("z", 1, 90), ("z", 2, 90)]
-    got = ngram_join.distinct_lists(spark.createDataFrame(rows, "sig string, doc_id bigint, size bigint")).collect()
+    rows = [(*row, True) for row in rows] + [("v", 5, 9, False), ("v", 6, 9, False), ("w", 7, 9, True)]
+    got = ngram_join.distinct_lists(spark.createDataFrame(rows, "sig string, doc_id bigint, size bigint, useful boolean")).collect()
     assert sorted((row.doc_id, row.size) for row in got) == [(1, 10), (1, 90), (2, 13), (2, 90)]
 
 
