@@ -135,6 +135,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR (n_words >= 100 AND 100 * n_distinct < 5 * n_words)) AS kept
 FROM counts"""
 
+_NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE pages AS (
+  SELECT row_number() OVER () AS page, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT page, doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
+           WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+  FROM pages),
+shingles AS (SELECT page, unnest(grams) AS gram FROM sets WHERE doc_id IS NOT NULL),
+shared AS (
+  SELECT a.page AS one, b.page AS other, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.gram = b.gram AND a.page < b.page GROUP BY 1, 2),
+links AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b
+  FROM shared JOIN sets x ON x.page = one JOIN sets y ON y.page = other
+  WHERE 100 * common >= 80 * (len(x.grams) + len(y.grams) - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (
+  SELECT a AS doc_id, a AS other FROM edges
+  UNION
+  SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a),
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN components c ON c.doc_id = s.doc_id"""
+
 _HARD_NEGATIVES_SQL = """
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -188,4 +216,4 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULL
 
 #: SQL has neither these tokenizers, models and checksums nor places of matches nor a page's elements; tests hold the others
 #: against the libraries, brute force and held-out labels.
-ORACLES = {"op5_quality_rules": _RULES_SQL, "op11_hard_negatives": _HARD_NEGATIVES_SQL, "op13_ranked_search": _RANKED_SEARCH_SQL}
+ORACLES = {"op5_quality_rules": _RULES_SQL, "op6_ngram_join": _NGRAM_JOIN_SQL, "op11_hard_negatives": _HARD_NEGATIVES_SQL, "op13_ranked_search": _RANKED_SEARCH_SQL}
