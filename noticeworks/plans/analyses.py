@@ -248,8 +248,10 @@ def stale_run_stream(spark, sf):
     """The same rule over a stream: updates of all runs, a restart, then an update that moves the time on."""
     root = shared_dir(spark, "stale")
     updates = views.analyses(spark, sf).where("updated_at is not null").select("expediente", "status", "updated_at")
-    begun = updates.withColumn("status", F.lit("in_progress"))
-    ended = updates.where("status <> 'in_progress'").withColumn("updated_at", F.timestamp_add("SECOND", F.lit(60), "updated_at"))
+    # A run that ended began a minute before: no update lies beyond the newest time of the analyses.
+    running, ended = updates.where("status = 'in_progress'"), updates.where("status <> 'in_progress'")
+    earlier = F.timestamp_add("SECOND", F.lit(-60), "updated_at")
+    begun = running.unionByName(ended.withColumns({"status": F.lit("in_progress"), "updated_at": earlier}))
     seen = F.greatest(F.max("updated_at"), views.as_of()).alias("updated_at")
     moved = updates.agg(seen).select(F.lit("tick").alias("expediente"), F.lit("completed").alias("status"), "updated_at")
     for landed in (begun.unionByName(ended), moved):

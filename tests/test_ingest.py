@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeworks.operators import merge
+from noticeworks.plans import catalog
 from noticeworks.sources import archives, feed
 from noticeworks.streaming import ingest, snapshot, stale
 from noticeworks.streaming.snapshot import Snapshot
@@ -451,3 +452,13 @@ def test_stale_stream_fails_abandoned_runs_only(spark, tmp_path):
     assert run() == [("dead", "failed", 1)]
     land_updates("5", ("tick", "completed", 5000))
     assert run() == [("again", "failed", 40), ("dead", "failed", 1)]
+
+
+def test_stale_stream_query_keeps_to_the_newest_time_of_the_analyses(spark, tmp_path):
+    # By their keys, 1798 is completed at 1798 s and ends the time seen; 0 and 903 run since 0 s and 903 s.
+    day = dt.datetime(2001, 8, 1)
+    rows = [(key, 1, "F", 1000.0, day, "1-URGENT") for key in (0, 903, 1798)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    failed = catalog.QUERIES["stale_run_stream"](spark, str(tmp_path)).collect()
+    assert [row["expediente"] for row in failed] == ["0"]
