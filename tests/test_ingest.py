@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeworks.operators import merge
-from noticeworks.plans import catalog
+from noticeworks.plans import catalog, feed_views
 from noticeworks.sources import archives, feed
 from noticeworks.streaming import ingest, snapshot, stale
 from noticeworks.streaming.snapshot import Snapshot
@@ -462,3 +462,38 @@ def test_stale_stream_query_keeps_to_the_newest_time_of_the_analyses(spark, tmp_
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     failed = catalog.QUERIES["stale_run_stream"](spark, str(tmp_path)).collect()
     assert [row["expediente"] for row in failed] == ["0"]
+
+
+def test_feed_files_are_packed_and_name_the_namespaces_once(spark, small_dir):
+    folder = feed_views.feed_directory(spark, small_dir)
+    files = [row["path"] for row in spark.read.format("binaryFile").load(folder).select("path").collect()]
+    assert files and all(path.endswith(".gz") for path in files)
+    assert feed_views.entry_texts(spark, small_dir).where("contains(entry, 'xmlns')").isEmpty()
+
+
+def test_conditions_on_parsed_entries_do_not_repeat_the_parse(spark):
+    pages = spark.range(2).select(F.lit("p").alias("path"), F.lit("m").alias("member"), F.concat(F.lit("<feed>"), F.col("id").cast("string")).alias("text"))
+    refused = feed.rejects(feed.parse_entries(feed.page_entries(pages), "path", "member"))
+    plan = refused._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.splitlines() if "Filter" in line]
+    assert plan.count("from_xml") + plan.count("xmltostructs") <= 1
+    assert conditions and all(len(line) < 200 for line in conditions)
+
+
+def test_archives_are_written_page_by_page(tmp_path):
+    def rows():
+        for page in range(3):
+            for number in range(4):
+                yield "202608", page, f"<entry>{page}.{number}</entry>"
+
+    class Told:
+        def open_output_stream(self, path):
+            return open(path, "wb")
+
+    names = [name for frame in feed_views._pack(rows(), Told(), str(tmp_path)) for name in frame["path"]]
+    assert names == ["notices_202608.zip"]
+    with zipfile.ZipFile(tmp_path / names[0]) as archive:
+        assert archive.namelist() == ["page0.atom", "page1.atom", "page2.atom", "readme.txt"]
+        texts = [archive.read(f"page{page}.atom").decode() for page in range(3)]
+    assert all(text.count("<entry>") == 4 + (page == 2) for page, text in enumerate(texts))
+    assert texts[2].endswith("<entry><id>broken") and texts[1].endswith("</feed>")
