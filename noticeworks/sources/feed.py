@@ -98,13 +98,15 @@ def page_entries(pages: DataFrame, text: str = "text") -> DataFrame:
     pieces = F.coalesce(pieces, F.array(F.coalesce(error, F.lit("page without text"))))
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     corrupt = F.when(~F.col("piece").rlike(r"(?s)\A<entry[\s>].*</entry\s*>\z"), F.col("piece"))
+    # As rows of a generator, so that conditions on the fields don't parse an entry again for each field.
+    parsed = F.inline(F.array(F.from_xml("piece", _entry_schema(), options)))
     return (
         pages.select(*kept, F.explode(pieces).alias("piece"))
-        .select(*kept, "piece", F.from_xml("piece", _entry_schema(), options).alias("entry"))
+        .select(*kept, "piece", parsed)
         .select(
             *kept,
-            *[F.col(f"entry.{name}").alias(name) for name in schemas.ENTRY.fieldNames()],
-            F.coalesce("entry._corrupt_record", corrupt).alias("_corrupt_record"),
+            *schemas.ENTRY.fieldNames(),
+            F.coalesce("_corrupt_record", corrupt).alias("_corrupt_record"),
         )
     )
 
@@ -274,7 +276,9 @@ def parse_entries(entries: DataFrame, *extra: str) -> DataFrame:
     reasons = F.array_compact(
         F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])
     )
-    return typed.select(*extra, *schemas.TENDER_COLUMNS, "updated_text", reasons.alias("reasons"))
+    # Likewise here: a condition on the reasons doesn't work them out a second time.
+    row = F.struct(*extra, *schemas.TENDER_COLUMNS, "updated_text", reasons.alias("reasons"))
+    return typed.select(row.alias("row")).select(F.inline(F.array("row")))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
