@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from string import ascii_lowercase, ascii_uppercase, digits
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from noticeworks.functions.text import SPACE
 
 #: From a text column to a vector column; a model comes as a pandas UDF.
 Encoder = Callable[[Column], Column]
-_HEX = "0123456789abcdef"
+_LETTERS = ascii_uppercase + ascii_lowercase + digits + "+/"
 
 
 def hashing_encoder(dimension: int = 64) -> Encoder:
@@ -23,20 +25,27 @@ def hashing_encoder(dimension: int = 64) -> Encoder:
 
     def encode(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), lambda w: w != "")
-        digit = lambda w, n: F.instr(F.lit(_HEX), F.substring(F.md5(w.cast("binary")), n, 1)) - 1
-        signed = F.transform(
-            words,
-            lambda w: F.struct(
-                F.pmod(digit(w, 1) * 4 + F.floor(digit(w, 2) / 4), F.lit(dimension)).cast("int").alias("place"),
-                F.when(digit(w, 3) % 2 == 1, 1).otherwise(-1).alias("sign"),
+        # Twelve bits: six for the place, the last for the sign.
+        bits = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 3), 16, 10).cast("int")
+        letter = lambda place: F.substr(F.lit(_LETTERS), place + 1, F.lit(1))
+        # A letter per word for its place, by sign: letters are counted in whole strings, so that
+        # a word costs no pass over all places.
+        letters = lambda found, sign: F.array_join(
+            F.transform(
+                F.filter(found, lambda n: n.bitwiseAND(1) == sign),
+                lambda n: letter(F.pmod(F.shiftright(n, 6), F.lit(dimension))),
             ),
+            "",
         )
-        # One pass over the words; each adds its sign at its place.
-        sums = F.aggregate(
+        count = lambda string, one: F.octet_length(string) - F.octet_length(F.replace(string, one, F.lit("")))
+        signed = bound(
+            F.transform(words, bits), lambda found: F.struct(letters(found, 1).alias("plus"), letters(found, 0).alias("minus"))
+        )
+        sums = bound(
             signed,
-            F.array_repeat(F.lit(0), dimension),
-            lambda found, w: F.transform(
-                found, lambda x, at: x + F.when(at == w["place"], w["sign"]).otherwise(0)
+            lambda s: F.transform(
+                F.sequence(F.lit(0), F.lit(dimension - 1)),
+                lambda at: count(s["plus"], letter(at)) - count(s["minus"], letter(at)),
             ),
         )
         return unit(sums)
@@ -57,6 +66,13 @@ def loaded(name: str, load: Callable[[], Model]) -> Model:
     return _MODELS[name]
 
 
+def in_parts(model: Model, texts: pd.Series, batch: int) -> Iterator[pd.Series]:
+    """Vectors of `batch` texts at a time; a part leaves before the next is looked at."""
+    for start in range(0, len(texts), batch):
+        found = model(texts.iloc[start : start + batch].fillna("").tolist())
+        yield pd.Series([np.asarray(vector, np.float32) for vector in found], dtype=object)
+
+
 def model_encoder(name: str, load: Callable[[], Model], batch: int = 256) -> Encoder:
     """An encoder around a model that `load` brings into a Python worker.
 
@@ -67,9 +83,7 @@ def model_encoder(name: str, load: Callable[[], Model], batch: int = 256) -> Enc
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loaded(name, load)
         for texts in parts:
-            rows = texts.fillna("").tolist()
-            found = [vector for start in range(0, len(rows), batch) for vector in model(rows[start : start + batch])]
-            yield pd.Series([list(map(float, vector)) for vector in found], dtype=object)
+            yield from in_parts(model, texts, batch)
 
     return lambda text: encode(text.cast("string"))
 
