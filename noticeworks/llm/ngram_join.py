@@ -10,10 +10,11 @@ shingles are hashed into m = H + 1 + slack segments, so a linked pair agrees on
 The cost of a segment is how many documents share its signature. Empty segments and
 signatures of more than `FREQUENT` documents are dear and left out. The slack covers as
 many of them as it is large; then a pair still meets at another signature. A document with
-more dear segments gets signatures of the one-deletion neighbourhoods of its other
-segments, which count double in the pigeonhole. Where that can't suffice either, the
-document goes by the prefix of its rarest shingles (as many as a linked pair may lack and
-one more), which is exact whatever the sizes of the lists.
+more dear segments gets signatures of the one-deletion neighbourhoods of as many of its
+other segments as may be missing, the last ones first; these count double in the
+pigeonhole. Where that can't suffice either, the document goes by the prefix of its rarest
+shingles (as many as a linked pair may lack and one more), which is exact whatever the
+sizes of the lists.
 
 Lists of documents with one signature are resolved without forming all their pairs: every
 document is compared with one leader, links make components, and only documents that lie
@@ -140,7 +141,14 @@ def _signed(sums: np.ndarray, place: np.ndarray, number: int) -> np.ndarray:
 
 
 def neighbourhoods(tokens: np.ndarray, number: int, dear: set[int]) -> np.ndarray:
-    """Signatures of the segments that aren't dear and of each with one shingle left out."""
+    """Signatures of the last segments that aren't dear and of each with one shingle left out.
+
+    With L the most segments that may be left out, L - slack segments are enough. Say that a
+    linked pair leaves out the same A segments in both documents, and up to L - A more in the
+    one that reaches less far back. Of the L - slack last segments of the other, A - slack are
+    left out in neither. If the pair met in none of them, they would hold two differing shingles
+    each, and every other segment but the A one: more than a linked pair has.
+    """
     place, starts, ordered, _ = segments(tokens, number)
     if not len(starts):
         return np.zeros(0, np.int64)
@@ -148,9 +156,11 @@ def neighbourhoods(tokens: np.ndarray, number: int, dear: set[int]) -> np.ndarra
     sums = np.add.reduceat(mixed, starts)
     whole = _signed(sums, place, number)
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ordered))))
-    cheap = np.array([signature not in dear for signature in whole.tolist()], bool)
-    without = _signed(sums[owner] - mixed, place[owner], number)
-    return np.unique(np.concatenate([whole[cheap], without[cheap[owner]]]))
+    _, slack, most = scheme(number)
+    cheap = np.flatnonzero([signature not in dear for signature in whole.tolist()])[-max(most - slack, 1) :]
+    chosen = np.isin(owner, cheap)
+    without = _signed(sums[owner[chosen]] - mixed[chosen], place[owner[chosen]], number)
+    return np.unique(np.concatenate([whole[cheap], without]))
 
 
 def pack_info(size: int, number: int, empty: int) -> int:

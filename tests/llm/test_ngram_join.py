@@ -125,6 +125,49 @@ def test_linked_pairs_agree_on_enough_segments():
             assert len(np.intersect1d(a, b)) + empty_a >= 1 + ngram_join.scheme(number)[1]
 
 
+def test_neighbourhoods_are_few_and_meet_for_linked_pairs():
+    dice = np.random.default_rng(29)
+    tried = 0
+    for turn in range(600):
+        size = int(dice.integers(20, 600))
+        number = ngram_join.band(size)
+        total, slack, enough = ngram_join.scheme(number)
+        apart = ngram_join.differing(size, size)
+
+        def segment(x):
+            return (((x * ngram_join._ODD[2]) >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
+
+        # Equally large sets, as far apart as a linked pair may be, their differences in as many segments as can be.
+        one = np.unique(dice.integers(0, 1 << 63, size, dtype=np.uint64))
+        new = dice.integers(0, 1 << 63, 20 * size, dtype=np.uint64)
+        hit, gone, more = set(), [], []
+        for source, out in ((one, gone), (new, more)):
+            for x, place in zip(source, segment(source)):
+                if len(out) < apart // 2 and place not in hit and place >= total - ngram_join.asked(size, number):
+                    hit.add(place)
+                    out.append(x)
+        other = np.sort(np.append(np.setdiff1d(one, gone), np.array(more, np.uint64)))
+        assert len(other) == len(one)
+        signed = [ngram_join.signatures(x, number) for x in (one, other)]
+        shared = np.intersect1d(signed[0][0], signed[1][0])
+        # Signatures that both have are dear first, then others of each by itself.
+        room = [enough - empty for _, empty in signed]
+        if min(room) < len(shared):
+            continue
+        dear = [set(shared.tolist()) for _ in signed]
+        for i, (own, empty) in enumerate(signed):
+            rest = np.setdiff1d(own, shared)
+            dear[i] |= set(dice.permutation(rest)[: room[i] - len(shared)].tolist())
+        if min(len(d) + empty for d, (_, empty) in zip(dear, signed)) <= slack:
+            continue
+        tried += 1
+        rows = [ngram_join.neighbourhoods(x, number, d) for x, d in zip((one, other), dear)]
+        assert len(np.intersect1d(*rows))
+        for x, found in zip((one, other), rows):
+            assert len(found) < len(x) / 2
+    assert tried > 20
+
+
 def test_long_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950), (7000, 7000)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "chain").collect())
