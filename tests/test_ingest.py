@@ -497,3 +497,45 @@ def test_archives_are_written_page_by_page(tmp_path):
         texts = [archive.read(f"page{page}.atom").decode() for page in range(3)]
     assert all(text.count("<entry>") == 4 + (page == 2) for page, text in enumerate(texts))
     assert texts[2].endswith("<entry><id>broken") and texts[1].endswith("</feed>")
+
+
+def test_a_batch_of_few_files_is_parsed_by_all_tasks(spark, tmp_path):
+    land(tmp_path / "feed", "p1", entry("A"))
+    told = lambda files: feed.stream_entries(spark, str(tmp_path / "feed"), files)._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in told(1) and "RepartitionByExpression" not in told(None)
+
+
+def test_entries_found_by_cutting_are_those_of_the_parser(spark, tmp_path):
+    a, b = entry("A"), entry("B")
+    pages = {
+        "plain": page(a, b),
+        "declared": "<?xml version='1.0'?>\n<!DOCTYPE feed>\n" + page(a, b),
+        "comment": page(f"<!-- {a} -->", b),
+        "end in comment": page(a.replace("<id>", "<!-- </entry> --><id>"), b),
+        "end in quoted text": page(entry("A", title="<![CDATA[x </entry> y]]>"), b),
+        "start in quoted text": page(entry("A", title="<![CDATA[x <entry> y]]>"), b),
+        "broken off": page(a, b)[:-200],
+        "end missing": page(a, b)[: -len("</entry></feed>")],
+        "attributes": page(a.replace("<entry>", "<entry\n a='>'>"), b),
+        "empty": page("<entry/>", "<entry a='1'/>", b),
+        "blank in the end": page(a.replace("</entry>", "</entry >"), b),
+        "prefix": page(a.replace("entry>", "x:entry>"), b),
+        "other name": page("<entryx>q</entryx>", b),
+        "nested": page(a.replace("<id>", "<x><entry>z</entry></x><id>"), b),
+        "unknown reference": page(entry("A", title="a &foo; b"), b),
+        "nothing": "",
+    }
+    for number, text in enumerate(pages.values()):
+        (tmp_path / str(number)).mkdir()
+        (tmp_path / str(number) / "p.atom").write_text(text, encoding="utf-8")
+    whole = str(tmp_path / "[0-9]*")
+    fields = [f.name for f in feed._entry_schema().fields if f.name != "_corrupt_record"]
+    shown = lambda frame: sorted(map(str, frame.select(*fields, F.col("_corrupt_record").isNotNull()).collect()))
+    cut = feed._read_pieces(feed._entry_pieces(spark.read, whole))
+    assert shown(cut) == shown(feed.scan_entries(spark, whole))
+    # Bytes that are no text refuse their entry only.
+    (tmp_path / "latin").mkdir()
+    (tmp_path / "latin" / "p.atom").write_bytes(page(entry("A", title="Año"), b).encode("latin-1"))
+    rows = feed.parse_entries(feed._read_pieces(feed._entry_pieces(spark.read, str(tmp_path / "latin"))))
+    assert [r["expediente"] for r in feed.accepted(rows).collect()] == ["B"]
+    assert [r["reasons"] for r in feed.rejects(rows).collect()] == [["entry malformed"]]
