@@ -539,3 +539,31 @@ def test_entries_found_by_cutting_are_those_of_the_parser(spark, tmp_path):
     rows = feed.parse_entries(feed._read_pieces(feed._entry_pieces(spark.read, str(tmp_path / "latin"))))
     assert [r["expediente"] for r in feed.accepted(rows).collect()] == ["B"]
     assert [r["reasons"] for r in feed.rejects(rows).collect()] == [["entry malformed"]]
+
+
+@pytest.mark.parametrize("groups", [1, 1024])
+def test_runs_of_a_group_of_keys_are_told_apart(spark, tmp_path, monkeypatch, groups):
+    """Whatever share a call: runs that end, run on, tie or are due just when the time stands."""
+    monkeypatch.setattr(stale, "GROUPS", groups)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(stale.OpenRuns):
+        def handleInputRows(self, *told):
+            calls.add(1)
+            return super().handleInputRows(*told)
+
+    monkeypatch.setattr(stale, "OpenRuns", Counted)
+    schema = "expediente string, status string, updated_at timestamp"
+    begin = dt.datetime(2026, 1, 1, 12, 0)
+    rows = [(f"k{i}", "in_progress", i % 7) for i in range(40)] + [(f"k{i}", "completed", 8) for i in range(20)]
+    rows += [("tie", "in_progress", 5), ("old", "in_progress", 3), ("old", "failed", 2), ("edge", "in_progress", 100), ("next", "in_progress", 101)]
+    for name, landed in (("1", rows), ("2", [("k30", "in_progress", 400), ("tie", "completed", 5), ("t", "completed", 1000.001)])):
+        typed = [(key, status, begin + dt.timedelta(seconds=at)) for key, status, at in landed]
+        spark.createDataFrame(typed, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "updates"))
+        stale.start_stale(spark, str(tmp_path / "updates"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    found = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    # By the second landing the time stands at 101 s, so that the end of `tie` comes too late.
+    told = sorted((r["expediente"], r["status"], (r["updated_at"] - begin).seconds) for r in found)
+    kept = [(f"k{i}", "failed", i % 7) for i in range(20, 40) if i != 30]
+    assert told == sorted([*kept, ("old", "failed", 3), ("tie", "failed", 5), ("edge", "failed", 100)])
+    assert groups > 1 or calls.value == 2
