@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from noticeworks.operators import blocks, funnel, ranking
+from noticeworks.operators import blocks, evaluation, funnel, ranking
 from noticeworks.plans import catalog
 from test_scale import hot_tables, plan
 
@@ -65,3 +65,24 @@ def test_blocks_of_any_size_give_all_pairs(spark, monkeypatch, sizes):
     }
     counts = {r["provider_id"]: r["after_location"] for r in funnel.funnel_counts(t, p, now).collect()}
     assert counts == {name: len(some) for name, some in own.items()}
+
+
+def test_vectors_move_as_they_are_stored(spark):
+    """Single-precision vectors and their lengths reach the blocks, not vectors of doubles."""
+    t, p, now = hot_tables(spark, tenders=4, providers=2)
+    vector = F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>").alias("embedding")
+    pairs = ranking.scored_pairs(t, p, now, t.select("expediente", vector), p.select("provider_id", vector), 2)
+    left, right = pairs.sides(lexical=True, vector=True)
+    assert left.schema["embedding"].dataType.simpleString() == right.schema["p_embedding"].dataType.simpleString() == "array<float>"
+    assert left.select("vector_norm").first()[0] == right.select("p_norm").first()[0] == 5.0
+
+
+def test_recall_scales_stored_vectors_by_their_lengths(spark):
+    judged = spark.createDataFrame([("p", "near", "relevant"), ("p", "long", "not_relevant")], "provider_id string, expediente string, label string")
+    vectors = [("near", [1.0, 0.0]), ("long", [90.0, 90.0])]
+    t = spark.createDataFrame(vectors, "expediente string, embedding array<float>").withColumn("title", F.lit(""))
+    p = spark.createDataFrame([("p", [2.0, 0.0])], "provider_id string, embedding array<float>").withColumn("description", F.lit(""))
+    t, p = ranking.with_norms(ranking.with_title_terms(t), 2), ranking.with_norms(ranking.query_terms(p), 2)
+    assert t.schema["embedding"].dataType.simpleString() == "array<float>"
+    found = {r["method"]: r["recall_1"] for r in evaluation.recall_at_k(judged, t, p, (1,)).collect()}
+    assert found == {"lexical": 0.0, "vector": 1.0}
