@@ -86,3 +86,8 @@ def test_recall_scales_stored_vectors_by_their_lengths(spark):
     assert t.schema["embedding"].dataType.simpleString() == "array<float>"
     found = {r["method"]: r["recall_1"] for r in evaluation.recall_at_k(judged, t, p, (1,)).collect()}
     assert found == {"lexical": 0.0, "vector": 1.0}
+
+
+def test_rows_move_to_their_blocks_without_a_move_by_code(spark, small_dir):
+    text = plan(catalog.QUERIES["vector_topk"](spark, small_dir))
+    assert "hashpartitioning(group" in text and "hashpartitioning(code" not in text
